@@ -16,6 +16,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def words(text: Column) -> Column:
     """Words of ``text``; an empty array for null."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"({WORD_PATTERN})"), F.lit(1)), F.array().cast("array<string>"))

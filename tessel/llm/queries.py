@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessel.llm import exact_dedup, quality_rules
-from tessel.llm.common import documents
+from tessel.llm import exact_dedup, quality_classifier, quality_rules
+from tessel.llm.common import documents, labels
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality_classifier.fit(docs, labels(spark, sf_dir))
+    return quality_classifier.classify(docs, model)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -24,6 +30,7 @@ from d window w as (partition by norm order by n desc, doc_id)"""
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_quality_classifier": op4_quality_classifier,
     "op8_exact_dedup": op8_exact_dedup,
 }
 ORACLES = {
