@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessel.llm import exact_dedup, quality_classifier, quality_rules
+from tessel.llm import exact_dedup, packing, quality_classifier, quality_rules, sentencepiece_codec
 from tessel.llm.common import documents, labels
 
 
@@ -18,6 +19,14 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(docs, model)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_decode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), full=False)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -31,6 +40,8 @@ from d window w as (partition by norm order by n desc, doc_id)"""
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
 }
 ORACLES = {
