@@ -22,17 +22,18 @@ COMMON_WORDS: dict[str, dict[str, float]] = {
     "fr": {"de": 0.0551, "la": 0.0300, "le": 0.0221, "et": 0.0169, "les": 0.0140, "des": 0.0118, "en": 0.0113, "un": 0.0095, "du": 0.0079, "une": 0.0072},
     "es": {"de": 0.0551, "la": 0.0288, "que": 0.0222, "el": 0.0165, "en": 0.0142, "y": 0.0114, "los": 0.0105, "se": 0.0090, "las": 0.0086, "del": 0.0076},
 }
-#: Shares of characters: upper-case A-Z, digits, symbols, punctuation, white space, bytes beyond ASCII; the rest is one further bin.
+#: Shares of characters: upper-case A-Z, symbols, punctuation, white space, bytes beyond ASCII; the rest, digits
+#: included (a number or two would outweigh everything else in a short text), is one further bin.
 CHARACTER_CLASSES: dict[str, dict[str, float]] = {
-    "en": {"upper": 0.0138, "digit": 0.0006, "symbol": 0.0005, "punct": 0.0237, "space": 0.1667, "wide": 0.0005},
-    "de": {"upper": 0.0123, "digit": 0.0005, "symbol": 0.0005, "punct": 0.0218, "space": 0.1546, "wide": 0.0381},
-    "fr": {"upper": 0.0104, "digit": 0.0008, "symbol": 0.0005, "punct": 0.0238, "space": 0.1667, "wide": 0.0906},
-    "es": {"upper": 0.0120, "digit": 0.0008, "symbol": 0.0005, "punct": 0.0230, "space": 0.1617, "wide": 0.0782},
+    "en": {"upper": 0.0138, "symbol": 0.0005, "punct": 0.0237, "space": 0.1667, "wide": 0.0005},
+    "de": {"upper": 0.0123, "symbol": 0.0005, "punct": 0.0218, "space": 0.1546, "wide": 0.0381},
+    "fr": {"upper": 0.0104, "symbol": 0.0005, "punct": 0.0238, "space": 0.1667, "wide": 0.0906},
+    "es": {"upper": 0.0120, "symbol": 0.0005, "punct": 0.0230, "space": 0.1617, "wide": 0.0782},
 }
 SYMBOLS = "#*$%&|<>"
 LEXICON = sorted({w for words in COMMON_WORDS.values() for w in words})
 #: Largest distances that pass, and the least characters and words that a histogram needs for a verdict.
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.20, 0.42
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.14, 0.42
 MIN_CHARS, MIN_WORDS = 200, 80
 BASE_MIN_WORDS, BASE_MAX_REPEAT_PERCENT = 50, 50
 
@@ -104,7 +105,6 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.length("t").cast("bigint").alias("n_chars"),
         (F.octet_length("t") - F.length("t")).cast("double").alias("c_wide"),
         matches("[A-Z]").cast("double").alias("c_upper"),
-        matches("[0-9]").cast("double").alias("c_digit"),
         matches("[.,;:!?'\"()-]").cast("double").alias("c_punct"),
         *[((F.length("common") - F.length(F.replace("common", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).alias(f"w_{w}") for w in LEXICON],
     )
@@ -143,7 +143,7 @@ with base as (
     cast(len(regexp_extract_all(t, '[#*$%&|<>]')) as bigint) as n_symbols,
     cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words,
     cast(length(t) as bigint) as n_chars, cast(strlen(t) - length(t) as double) as c_wide,
-    cast(len(regexp_extract_all(t, '[A-Z]')) as double) as c_upper, cast(len(regexp_extract_all(t, '[0-9]')) as double) as c_digit,
+    cast(len(regexp_extract_all(t, '[A-Z]')) as double) as c_upper,
     cast(len(regexp_extract_all(t, '[.,;:!?''"()-]')) as double) as c_punct, {counts}
   from lows left join covered using (rid)
 ), ready as (
