@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessel.llm import exact_dedup, packing, quality_classifier, quality_rules, sentencepiece_codec
-from tessel.llm.common import documents, labels
+from tessel.llm import exact_dedup, language_id, packing, quality_classifier, quality_rules, sentencepiece_codec, toxicity
+from tessel.llm.common import documents, labels, remainder
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.fit(docs, remainder(F.col("doc_id"), 5) != 0)
+    return language_id.identify(docs, model, spans=False)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = quality_classifier.fit(docs, labels(spark, sf_dir))
@@ -23,6 +30,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_decode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), full=False)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    lexicon = toxicity.fit(docs, labels(spark, sf_dir))
+    return toxicity.score_toxicity(docs, lexicon).drop("matched")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -39,8 +52,10 @@ from d window w as (partition by norm order by n desc, doc_id)"""
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_language_id": op2_language_id,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
 }
