@@ -3,7 +3,7 @@
 A word is scored in each language by the log-probabilities of its byte 3-grams and 4-grams, counted
 over a bounded sample of labelled documents. The script of a word narrows the languages it may belong
 to. Viterbi's algorithm with a penalty for each switch then labels spans; the language that holds most
-letters is the text's. Most texts need no full pass: where no stretch of words gains half a penalty in
+letters of the text's distinct words is the text's, so a repeated line counts once. Most texts need no full pass: where no stretch of words gains half a penalty in
 another language, the best single language is the optimum.
 """
 
@@ -163,7 +163,8 @@ class Labeller:
             scores = self.scores[[self.place[w] for w in words]]
         scores = scores.astype(np.float64)
         path = viterbi(scores, self.switch)
-        held = np.bincount(path, weights=[len(w) for w in words], minlength=len(names))
+        once = dict(zip(words, path.tolist(), strict=True))
+        held = np.bincount(list(once.values()), weights=[len(w) for w in once], minlength=len(names))
         best = int(held.argmax())
         inside = scores[path == best].sum(axis=0)
         sure = 1.0 / np.exp(np.clip(inside - inside[best], -50, 50)).sum()
