@@ -29,7 +29,8 @@ class ChunkCodec:
 
     def __init__(self, model: str, table_size: int = TABLE_SIZE):
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.table: dict[str, tuple[str, int, str]] = {}
+        self.ids_of: dict[str, str] = {}
+        self.text_of: dict[str, str] = {}
         self.table_size = table_size
         self.prefix = self.sp.encode("\n")
         sp = self.sp
@@ -46,8 +47,8 @@ class ChunkCodec:
     def _learn(self, chunks: list[str]) -> None:
         ids = [x[2:] for x in self.sp.encode(["\n" + c for c in chunks])]
         texts = self.sp.decode([[*self.prefix, *x] for x in ids])
-        for c, x, t in zip(chunks, ids, texts, strict=True):
-            self.table[c] = (",".join(map(str, x)), len(x), t[1:])
+        self.ids_of.update(zip(chunks, [",".join(map(str, x)) for x in ids], strict=True))
+        self.text_of.update(zip(chunks, [t[1:] for t in texts], strict=True))
 
     def encode(self, text: str) -> tuple[str, int, str]:
         """Decimal ids joined by commas, their number, and the text that they decode to."""
@@ -57,15 +58,15 @@ class ChunkCodec:
             ids = self.sp.encode(text)
             return ",".join(map(str, ids)), len(ids), self.sp.decode(ids)
         chunks = _CHUNK.findall(MARK + text.replace(" ", MARK))
-        table = self.table
-        new = {c for c in chunks if c not in table}
+        new = set(chunks).difference(self.ids_of)
         if new:
-            if len(table) + len(new) > self.table_size:
-                table.clear()
+            if len(self.ids_of) + len(new) > self.table_size:
+                self.ids_of.clear()
+                self.text_of.clear()
                 new = set(chunks)
             self._learn(list(new))
-        found = [table[c] for c in chunks]
-        return ",".join([x[0] for x in found]), sum([x[1] for x in found]), "".join([x[2] for x in found])[1:]
+        ids = ",".join(map(self.ids_of.__getitem__, chunks))
+        return ids, ids.count(",") + 1, "".join(map(self.text_of.__getitem__, chunks))[1:]
 
 
 def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", full: bool = True) -> DataFrame:
