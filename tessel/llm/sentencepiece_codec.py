@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Chunks that a task's table holds at most.
-TABLE_SIZE = 200_000
+TABLE_SIZE = 400_000
 _CHUNK = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 
@@ -45,8 +45,8 @@ class ChunkCodec:
         )
 
     def _learn(self, chunks: list[str]) -> None:
-        ids = [x[2:] for x in self.sp.encode(["\n" + c for c in chunks])]
-        texts = self.sp.decode([[*self.prefix, *x] for x in ids])
+        ids = [x[2:] for x in self.sp.encode(["\n" + c for c in chunks], num_threads=1)]
+        texts = self.sp.decode([[*self.prefix, *x] for x in ids], num_threads=1)
         self.ids_of.update(zip(chunks, [",".join(map(str, x)) for x in ids], strict=True))
         self.text_of.update(zip(chunks, [t[1:] for t in texts], strict=True))
 
