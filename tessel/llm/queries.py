@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import exact_dedup, language_id, packing, quality_classifier, quality_rules, sentencepiece_codec, toxicity
+from tessel.llm import exact_dedup, language_id, lm_scoring, packing, quality_classifier, quality_rules, sentencepiece_codec, toxicity
 from tessel.llm.common import documents, labels, remainder
 
 
@@ -44,6 +44,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 7) == 2
+    return lm_scoring.score_texts(documents(spark, sf_dir), ~held_out, held_out)
+
+
 OP8_SQL = r"""
 with d as (select doc_id, length(coalesce(text, '')) as n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents)
 select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by norm) as group_size,
@@ -58,6 +63,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.oracle(),
