@@ -55,7 +55,7 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
 def input_gb(spark: SparkSession, df: DataFrame) -> float:
     """Size of ``df`` in GB as the optimizer's statistics give it (file sizes for a scan)."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return float(size.toString()) / 1e9
+    return float(str(size)) / 1e9
 
 
 def partitions_for(df: DataFrame, mb_each: float = 8.0, least: int = 0) -> int:

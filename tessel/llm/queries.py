@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import exact_dedup, language_id, lm_scoring, packing, quality_classifier, quality_rules, sentencepiece_codec, toxicity
+from tessel.llm import exact_dedup, language_id, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_codec, toxicity
 from tessel.llm.common import documents, labels, remainder
 
 
@@ -20,6 +20,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model, spans=False)
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = quality_classifier.fit(docs, labels(spark, sf_dir))
@@ -58,6 +62,7 @@ from d window w as (partition by norm order by n desc, doc_id)"""
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_toxicity": op6_toxicity,
