@@ -3,7 +3,7 @@
 A word is scored in each language by the log-probabilities of its byte 3-grams and 4-grams, counted
 over a bounded sample of labelled documents. The script of a word narrows the languages it may belong
 to. Viterbi's algorithm with a penalty for each switch then labels spans; the language that holds most
-letters of the text's distinct words is the text's, so a repeated line counts once. Most texts need no full pass: where no stretch of words gains half a penalty in
+letters of the text's distinct words is the text's, so a repeated line counts once. Most texts need no full pass: where no stretch of words gains a penalty in
 another language, the best single language is the optimum.
 """
 
@@ -77,10 +77,32 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     total = scores.sum(axis=0)
     best = int(total.argmax())
     gain = np.cumsum(scores - scores[:, best : best + 1], axis=0)
-    low = np.minimum.accumulate(np.vstack([np.zeros((1, scores.shape[1])), gain]), axis=0)[:-1]
-    if (gain - low).max() <= switch / 2:
+    low = np.minimum.accumulate(np.minimum(0, np.roll(gain, 1, axis=0) * (np.arange(len(scores)) > 0)[:, None]), axis=0)
+    # A run of words in other languages costs a switch for each of its segments, unless it is the whole text: then the first
+    # segment is a beginning and the last one an end.
+    if (gain - low).max() <= switch and max(0, gain.max()) + max(0, (gain[-1] - np.minimum(0, gain.min(axis=0))).max()) <= switch:
         return np.full(len(scores), best)
     n, k = scores.shape
+    if k > 16:
+        return _viterbi_wide(scores, switch)
+    rows = scores.tolist()
+    v = rows[0]
+    tops, stays = [0], [[]]
+    for row in rows[1:]:
+        most = max(v)
+        floor = most - switch
+        tops.append(v.index(most))
+        stays.append([x >= floor for x in v])
+        v = [(x if x >= floor else floor) + y for x, y in zip(v, row, strict=True)]
+    path = [v.index(max(v))]
+    for i in range(n - 1, 0, -1):
+        at = path[-1]
+        path.append(at if stays[i][at] else tops[i])
+    return np.array(path[::-1])
+
+
+def _viterbi_wide(scores: np.ndarray, switch: float) -> np.ndarray:
+    n, k = scores.shape
     back = np.empty((n, k), np.int16)
     v = scores[0].copy()
     own = np.arange(k)
@@ -149,10 +171,10 @@ class Labeller:
         names = self.model.languages
         if not words or not names:
             return "und", 0.0, []
-        new = list(dict.fromkeys(w for w in words if w not in self.place))
+        new = list(set(words).difference(self.place))
         if len(self.place) + len(new) > self.size:
             self.place.clear()
-            new = list(dict.fromkeys(words))
+            new = list(set(words))
         if len(new) > self.size:
             scores = self.model.score_words(words)
         else:
@@ -160,11 +182,11 @@ class Labeller:
                 at = len(self.place)
                 self.scores[at : at + len(new)] = self.model.score_words(new)
                 self.place.update(zip(new, range(at, at + len(new)), strict=True))
-            scores = self.scores[[self.place[w] for w in words]]
+            scores = self.scores[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
         scores = scores.astype(np.float64)
         path = viterbi(scores, self.switch)
         once = dict(zip(words, path.tolist(), strict=True))
-        held = np.bincount(list(once.values()), weights=[len(w) for w in once], minlength=len(names))
+        held = np.bincount(np.fromiter(once.values(), np.int64, len(once)), weights=np.fromiter(map(len, once), np.float64, len(once)), minlength=len(names))
         best = int(held.argmax())
         inside = scores[path == best].sum(axis=0)
         sure = 1.0 / np.exp(np.clip(inside - inside[best], -50, 50)).sum()
