@@ -67,3 +67,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = groups.select(*key, "keep_id", "group_size")
     out = rows.select("doc_id", *key).join(found, ["digest", "norm_len", "norm_hash"], "left")
     return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull() & F.col("doc_id").isNull()).alias("kept"), F.col("digest").alias("text_sha256"))
+
+
+def keep_winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with their columns, that stay in their group of equal texts."""
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(kept, id_col, "left_semi").select(*docs.columns)

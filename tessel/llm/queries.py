@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import exact_dedup, language_id, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_codec, toxicity
+from tessel.llm import exact_dedup, language_id, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup, toxicity
 from tessel.llm.common import documents, labels, remainder
 
 
@@ -48,6 +48,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 7) == 2
     return lm_scoring.score_texts(documents(spark, sf_dir), ~held_out, held_out)
@@ -68,6 +72,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLES = {
