@@ -28,7 +28,7 @@ from tessel.llm.common import materialize
 
 DEPTH = 5
 #: Contexts that become nodes at most; each holds 256 predictions of four bytes.
-MAX_NODES = 32_768
+MAX_NODES = 20_000
 #: A word is broadcast if it holds this share of all training tokens.
 HOT_SHARE = 1e-5
 #: Distinct keys that a task gathers before it passes its counts on.
@@ -165,28 +165,25 @@ def build_tree(depth_of: np.ndarray, context: np.ndarray, counts: np.ndarray) ->
     below = np.zeros_like(counts)
     np.add.at(below, parent[1:], counts[1:])
     children = np.zeros((m, 255))
-    weighted = np.zeros((m, 255))
-    share = np.ones((m, 255))
+    share = np.ones((m, 255), np.float32)
     order = [np.flatnonzero(depth_of == d) for d in range(DEPTH + 1)]
     for d in range(DEPTH, -1, -1):
-        for rows in np.array_split(order[d], max(1, len(order[d]) // 4096)):
+        for rows in np.array_split(order[d], max(1, len(order[d]) // 1024)):
             if not len(rows):
                 continue
-            own = _kt(_bits(counts[rows]))
-            if d == DEPTH:
-                weighted[rows] = own
-                continue
-            split = children[rows] + _kt(_bits(counts[rows] - below[rows]))
-            share[rows] = 1 / (1 + np.exp(np.clip(split - own, -700, 700)))
-            weighted[rows] = np.logaddexp(own, split) - np.log(2)
-        if d:
-            np.add.at(children, parent[order[d]], weighted[order[d]])
-    del children, weighted
+            weighted = _kt(_bits(counts[rows]))
+            if d < DEPTH:
+                split = children[rows] + _kt(_bits(counts[rows] - below[rows]))
+                share[rows] = 1 / (1 + np.exp(np.clip(split - weighted, -700, 700)))
+                weighted = np.logaddexp(weighted, split) - np.log(2)
+            if d:
+                np.add.at(children, parent[rows], weighted)
+    del children
     log_p = np.zeros((m, 256), np.float32)
     known = np.zeros((m, 255), np.float32)
     rest = np.ones((m, 255), np.float32)
     for d in range(DEPTH + 1):
-        for rows in np.array_split(order[d], max(1, len(order[d]) // 4096)):
+        for rows in np.array_split(order[d], max(1, len(order[d]) // 1024)):
             if not len(rows):
                 continue
             up = parent[rows]
