@@ -1,6 +1,6 @@
 """Removal of repeated substrings by suffix order: every byte in a string of ``LENGTH`` bytes that an earlier document holds.
 
-Every window of ``LENGTH`` bytes has an anchor, the 8 bytes in it of least hash (the first of equals), and
+Every window of ``LENGTH`` bytes has an anchor, the 16 bytes in it of least hash (the first of equals), and
 consecutive windows with one anchor form a run. Equal windows have equal anchors, so:
 
 1. Documents are dealt to groups by their id. Each group reports its distinct anchors; anchors that no
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tessel.llm.common import partitions_for
 
 LENGTH = 50
-GRAM = 8
+GRAM = 16
 #: An anchor in this many groups is hot.
 HOT_GROUPS = 48
 _PLACE = 26
@@ -53,6 +53,12 @@ def _loads(raw: np.ndarray) -> np.ndarray:
     return out[: len(raw)]
 
 
+def _gram_hashes(load: np.ndarray) -> np.ndarray:
+    """Hashes of the 16 bytes from each position on."""
+    later = np.concatenate([load[8:], np.zeros(min(8, len(load)), np.uint64)])
+    return _mix(_mix(load + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + later)
+
+
 class Group:
     """The documents of a group in order of id, and the runs of their windows."""
 
@@ -81,7 +87,7 @@ class Group:
         parts: list[tuple[np.ndarray, ...]] = []
         self.load = _loads(self.raw)
         if len(self.raw) >= LENGTH:
-            h = _mix(self.load + np.uint64(1))
+            h = _gram_hashes(self.load)
             place = np.uint64((1 << _PLACE) - 1)
             step = 1 << (_PLACE - 1)
             for low in range(0, len(h), step):
@@ -89,7 +95,7 @@ class Group:
                 v = (v & ~place) | np.arange(len(v), dtype=np.uint64)
                 for k in (1, 2, 4, 8, 16):
                     v = np.minimum(v[:-k], v[k:])
-                v = np.minimum(v[: len(v) - 11], v[11:])
+                v = np.minimum(v[: len(v) - 3], v[3:])
                 w = min(step, len(h) - LENGTH + 1 - low)
                 if w > 0:
                     parts.append((v[:w] & place).astype(np.int64) + low)
@@ -375,8 +381,8 @@ def _repeated(runs: list[tuple[bytes, int, int, bytes]]) -> list[list[tuple[int,
 
 def _anchor(run: bytes) -> int:
     """What the order of anchors sees of the run's anchor: equal for runs of one anchor."""
-    load = _loads(np.frombuffer(run[:LENGTH], np.uint8))[: LENGTH - GRAM + 1]
-    return int((_mix(load + np.uint64(1)) >> np.uint64(_PLACE)).min())
+    hashes = _gram_hashes(_loads(np.frombuffer(run[:LENGTH], np.uint8)))[: LENGTH - GRAM + 1]
+    return int((hashes >> np.uint64(_PLACE)).min())
 
 
 def _mark(runs: list[tuple[bytes, int, int, bytes]], some: list[int], spans: list[list[tuple[int, int]]]) -> None:
