@@ -32,9 +32,8 @@ from tessel.llm.common import partitions_for
 LENGTH = 50
 GRAM = 16
 #: An anchor in this many groups is hot.
-HOT_GROUPS = 48
+HOT_GROUPS = 1000
 _PLACE = 26
-SEPARATOR = 0xFF  # no byte of UTF-8
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -156,10 +155,19 @@ def match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_pydict({"pid": pa.array([int(pid[x]) for x, _ in some], pa.int32()), "hot": pa.array([bool(hot[x]) for x, _ in some], pa.bool_()), "keys": pa.array([key[x:y].tobytes() for x, y in some], pa.binary())})
 
 
-_PIECE = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("pid", pa.int32()), ("doc_id", pa.int64()), ("run", pa.binary()), ("places", pa.binary())])
-PIECE = "bucket int, kind int, pid int, doc_id bigint, run binary, places binary"
-#: Kinds of pieces: ranges that go; a run with its places; windows of hot anchors.
+_PIECE = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("pid", pa.int32()), ("size", pa.int64()), ("blob", pa.binary())])
+PIECE = "bucket int, kind int, pid int, size bigint, blob binary"
+#: Kinds of pieces: ranges that go; runs with their places; windows of hot anchors.
 GOES, RUN, HOT = 0, 1, 2
+_HEAD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("length", "<i4"), ("places", "<i4")])
+
+
+def _packed(blob: bytes) -> tuple[int, bytes]:
+    return len(blob), pa.compress(blob, codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, size: int) -> bytes:
+    return pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True)
 
 
 def send_runs(pid: int, table: pa.Table, shared: pa.Table, buckets: int) -> pa.Table:
@@ -182,16 +190,24 @@ def send_runs(pid: int, table: pa.Table, shared: pa.Table, buckets: int) -> pa.T
     rows: list[tuple] = []
     runs: dict[bytes, list] = {}
     base = group.base
-    for i in order[~is_hot].tolist():
-        a, b, r = int(group.first[i]), int(group.last[i]) + LENGTH, int(group.row[i])
+    ids = group.ids.tolist()
+    plain = order[~is_hot]
+    for k, a, b, r in zip(group.key[plain].tolist(), group.first[plain].tolist(), (group.last[plain] + LENGTH).tolist(), group.row[plain].tolist(), strict=True):
         start = a - base[r]
-        entry = runs.setdefault(raw[a:b], [int(group.key[i]), r, []])
-        if group.ids[entry[1]] == group.ids[r]:
-            entry[2] += (r, start)
+        entry = runs.get(raw[a:b])
+        if entry is None:
+            runs[raw[a:b]] = [k, r, start]
+        elif ids[entry[1]] == ids[r]:
+            entry += (r, start)
         else:
             goes.append((r, start, start + b - a))
-    for run, (k, r, places) in runs.items():
-        rows.append((k % buckets, RUN, pid, int(group.ids[r]), run, np.array(places, np.int32).tobytes()))
+    dealt: dict[int, list[tuple[bytes, list]]] = {}
+    for run, entry in runs.items():
+        dealt.setdefault(entry[0] % buckets, []).append((run, entry))
+    for bucket, some in dealt.items():
+        head = np.array([(e[0], ids[e[1]], len(x), len(e) // 2) for x, e in some], _HEAD)
+        places = np.array([v for _, e in some for v in e[1:]], "<i4")
+        rows.append((bucket, RUN, pid, *_packed(np.array([len(some), len(places)], "<i8").tobytes() + head.tobytes() + places.tobytes() + b"".join([x for x, _ in some]))))
     picked = order[is_hot]
     if len(picked):
         lengths = group.last[picked] - group.first[picked] + 1
@@ -221,11 +237,10 @@ def send_runs(pid: int, table: pa.Table, shared: pa.Table, buckets: int) -> pa.T
         b, one, two, r, place = b[order], one[stay][order], two[stay][order], r[stay][order], place[stay][order]
         cuts = _groups(b).tolist()
         for x, y in zip(cuts, [*cuts[1:], len(b)], strict=True):
-            head = one[x:y].tobytes() + two[x:y].astype(np.uint32).tobytes() + group.ids[r[x:y]].tobytes()
-            rows.append((int(b[x]), HOT, pid, None, head, np.stack([r[x:y], place[x:y]], axis=1).astype(np.int32).tobytes()))
+            rows.append((int(b[x]), HOT, pid, *_packed(one[x:y].tobytes() + two[x:y].astype("<u4").tobytes() + group.ids[r[x:y]].tobytes() + np.stack([r[x:y], place[x:y]], axis=1).astype("<i4").tobytes())))
     if goes:
-        rows.append((pid % buckets, GOES, pid, None, None, _ranges(np.array(goes, np.int64))))
-    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 6, _PIECE, strict=True)], schema=_PIECE)
+        rows.append((pid % buckets, GOES, pid, *_packed(_ranges(np.array(goes, np.int64)))))
+    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_PIECE), _PIECE, strict=True)], schema=_PIECE)
 
 
 def _ranges(found: np.ndarray) -> bytes:
@@ -302,109 +317,132 @@ def prefix_classes(text: np.ndarray, order: np.ndarray, length: int = LENGTH) ->
 
 def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """pid, ranges (row, start, end): what goes, from the pieces of a shard."""
-    runs: list[tuple[bytes, int, int, bytes]] = []
-    hot: list[tuple[int, bytes, bytes]] = []
+    heads, places, pids, texts = [], [], [], []
+    hot: list[tuple[int, bytes]] = []
     for batch in batches:
-        for kind, pid, doc, run, places in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
+        for kind, pid, size, blob in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+            blob = _unpacked(blob, size)
             if kind == GOES:
-                yield pa.RecordBatch.from_pydict({"pid": pa.array([pid], pa.int32()), "ranges": pa.array([places], pa.binary())})
-            elif kind == RUN:
-                runs.append((run, doc, pid, places))
+                yield pa.RecordBatch.from_pydict({"pid": pa.array([pid], pa.int32()), "ranges": pa.array([blob], pa.binary())})
+            elif kind == HOT:
+                hot.append((pid, blob))
             else:
-                hot.append((pid, run, places))
-    out: dict[int, list[np.ndarray]] = {}
-
-    def goes(pid: int, places: bytes, spans: list[tuple[int, int]]) -> None:
-        at = np.frombuffer(places, np.int32).reshape(-1, 2).astype(np.int64)
-        for a, b in spans:
-            out.setdefault(pid, []).append(np.stack([at[:, 0], at[:, 1] + a, at[:, 1] + b], axis=1))
-
-    runs.sort(key=lambda x: (x[0], x[1]))
-    distinct: list[tuple[bytes, int, int, bytes]] = []
-    for x in runs:
-        if not distinct or distinct[-1][0] != x[0]:
-            distinct.append(x)
-        elif x[1] > distinct[-1][1]:
-            goes(x[2], x[3], [(0, len(x[0]))])
-        else:
-            distinct.append(x)  # the same document's run in a row that repeats its id
-    for x, spans in zip(distinct, _repeated(distinct), strict=True):
-        if spans:
-            goes(x[2], x[3], spans)
+                n, k = np.frombuffer(blob[:16], "<i8").tolist()
+                at = 16 + n * _HEAD.itemsize
+                heads.append(np.frombuffer(blob[16:at], _HEAD))
+                places.append(np.frombuffer(blob[at : at + 4 * k], "<i4").reshape(-1, 2))
+                pids.append(np.full(n, pid, np.int64))
+                at += 4 * k
+                for length in heads[-1]["length"].tolist():
+                    texts.append(blob[at : at + length])
+                    at += length
+    found = []
+    if texts:
+        found.append(_judge_runs(np.concatenate(heads), np.concatenate(places).astype(np.int64), np.concatenate(pids), texts))
     if hot:
-        one, two, doc, pid, place = [], [], [], [], []
-        for p, head, places in hot:
-            k = len(head) // 20
-            one.append(np.frombuffer(head[: 8 * k], np.uint64))
-            two.append(np.frombuffer(head[8 * k : 12 * k], np.uint32))
-            doc.append(np.frombuffer(head[12 * k :], np.int64))
-            pid.append(np.full(k, p, np.int64))
-            place.append(np.frombuffer(places, np.int32).reshape(-1, 2))
-        one, two, doc, pid, place = (np.concatenate(x) for x in (one, two, doc, pid, place))
-        order = np.lexsort((doc, two, one))
-        one, two, doc, pid, place = one[order], two[order], doc[order], pid[order], place[order]
-        at = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
-        least = np.repeat(doc[at], np.diff(np.concatenate([at, [len(doc)]])))
-        later = np.flatnonzero(doc > least)
-        later = later[np.argsort(pid[later], kind="stable")]
-        cuts = _groups(pid[later]).tolist()
-        for x, y in zip(cuts, [*cuts[1:], len(later)], strict=True):
-            i = later[x:y]
-            out.setdefault(int(pid[i[0]]), []).append(np.stack([place[i, 0], place[i, 1], place[i, 1] + LENGTH], axis=1).astype(np.int64))
-    for pid, found in out.items():
-        yield pa.RecordBatch.from_pydict({"pid": pa.array([pid], pa.int32()), "ranges": pa.array([_ranges(np.concatenate(found))], pa.binary())})
+        found.append(_judge_hot(hot))
+    if not found:
+        return
+    goes = np.concatenate(found)
+    goes = goes[np.argsort(goes[:, 0], kind="stable")]
+    cuts = _groups(goes[:, 0]).tolist()
+    for x, y in zip(cuts, [*cuts[1:], len(goes)], strict=True):
+        yield pa.RecordBatch.from_pydict({"pid": pa.array([int(goes[x, 0])], pa.int32()), "ranges": pa.array([_ranges(goes[x:y, 1:])], pa.binary())})
+
+
+def _judge_runs(head: np.ndarray, places: np.ndarray, pid: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """(pid, row, start, end) that go by runs: those that a smaller document has whole, and equal windows of different runs."""
+    number: dict[bytes, int] = {}
+    same = np.array([number.setdefault(x, len(number)) for x in texts], np.int64)
+    distinct = list(number)
+    doc = head["doc"]
+    least = np.full(len(distinct), np.iinfo(np.int64).max)
+    np.minimum.at(least, same, doc)
+    key = np.empty(len(distinct), np.uint64)
+    key[same] = head["key"]
+    place_at = np.concatenate([[0], np.cumsum(head["places"])]).astype(np.int64)
+
+    def at_places(run: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The spans [a, b) of runs at each of their places."""
+        times = head["places"][run].astype(np.int64)
+        each = np.repeat(np.arange(len(run)), times)
+        at = place_at[run][each] + np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
+        return np.stack([pid[run][each], places[at, 0], places[at, 1] + a[each], places[at, 1] + b[each]], axis=1)
+
+    later = np.flatnonzero(doc > least[same])
+    out = [at_places(later, np.zeros(len(later), np.int64), head["length"][later].astype(np.int64))]
+    which, a, b = _repeated(distinct, key, least)
+    if len(which):
+        first = np.flatnonzero(doc == least[same])
+        first = first[np.argsort(same[first], kind="stable")]
+        low, high = (np.searchsorted(same[first], which, side=x) for x in ("left", "right"))
+        each = np.repeat(np.arange(len(which)), high - low)
+        run = first[low[each] + np.arange(len(each)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)]
+        out.append(at_places(run, a[each], b[each]))
+    return np.concatenate(out)
+
+
+def _judge_hot(hot: list[tuple[int, bytes]]) -> np.ndarray:
+    """(pid, row, start, end) that go by windows of hot anchors."""
+    one, two, doc, pid, place = [], [], [], [], []
+    for p, blob in hot:
+        k = len(blob) // 28
+        for out, (kind, a, b) in zip((one, two, doc, place), (("<u8", 0, 8), ("<u4", 8, 12), ("<i8", 12, 20), ("<i4", 20, 28)), strict=True):
+            out.append(np.frombuffer(blob[a * k : b * k], kind))
+        pid.append(np.full(k, p, np.int64))
+    one, two, doc, pid = (np.concatenate(x) for x in (one, two, doc, pid))
+    place = np.concatenate(place).reshape(-1, 2).astype(np.int64)
+    order = np.lexsort((doc, two, one))
+    one, two, doc, pid, place = one[order], two[order], doc[order], pid[order], place[order]
+    at = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+    later = np.flatnonzero(doc > np.repeat(doc[at], np.diff(np.concatenate([at, [len(doc)]]))))
+    return np.stack([pid[later], place[later, 0], place[later, 1], place[later, 1] + LENGTH], axis=1)
 
 
 #: Bytes of runs whose suffixes are sorted at once; runs of one anchor stay together.
-SORTED_BYTES = 1 << 24
+SORTED_BYTES = 1 << 23
 
 
-def _repeated(runs: list[tuple[bytes, int, int, bytes]]) -> list[list[tuple[int, int]]]:
-    """For each run the spans of bytes in windows that a run of a smaller document holds."""
-    spans: list[list[tuple[int, int]]] = [[] for _ in runs]
-    keyed: dict[int, list[int]] = {}
-    for i, x in enumerate(runs):
-        keyed.setdefault(_anchor(x[0]), []).append(i)
+def _repeated(runs: list[bytes], key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, start, end) of the bytes in windows that another run of the same anchor and of a smaller document holds."""
+    order = np.lexsort((doc, key))
+    at = _groups(key[order])
+    ends = np.concatenate([at[1:], [len(order)]])
+    several = doc[order[at]] != doc[order[ends - 1]]
+    found = []
     some: list[int] = []
     size = 0
-    for members in keyed.values():
-        if len(members) > 1 and len({runs[i][1] for i in members}) > 1:
-            some += members
-            size += sum(len(runs[i][0]) + 1 for i in members)
-            if size >= SORTED_BYTES:
-                _mark(runs, some, spans)
-                some, size = [], 0
+    for a, b in zip(at[several].tolist(), ends[several].tolist(), strict=True):
+        members = order[a:b].tolist()
+        some += members
+        size += sum([len(runs[i]) + 1 for i in members])
+        if size >= SORTED_BYTES:
+            found.append(_mark(runs, doc, some))
+            some, size = [], 0
     if some:
-        _mark(runs, some, spans)
-    return spans
+        found.append(_mark(runs, doc, some))
+    whole = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+    return whole[:, 0], whole[:, 1], whole[:, 2]
 
 
-def _anchor(run: bytes) -> int:
-    """What the order of anchors sees of the run's anchor: equal for runs of one anchor."""
-    hashes = _gram_hashes(_loads(np.frombuffer(run[:LENGTH], np.uint8)))[: LENGTH - GRAM + 1]
-    return int((hashes >> np.uint64(_PLACE)).min())
-
-
-def _mark(runs: list[tuple[bytes, int, int, bytes]], some: list[int], spans: list[list[tuple[int, int]]]) -> None:
-    text = np.frombuffer(b"".join(runs[i][0] + b"\xff" for i in some), np.uint8)
-    sizes = np.array([len(runs[i][0]) for i in some])
+def _mark(runs: list[bytes], doc_of: np.ndarray, some: list[int]) -> np.ndarray:
+    text = np.frombuffer(b"".join([runs[i] + b"\xff" for i in some]), np.uint8)
+    sizes = np.array([len(runs[i]) for i in some])
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     order = suffix_order(text)
     begins = prefix_classes(text, order)
     which = np.repeat(np.arange(len(some)), sizes + 1)
     inside = np.arange(len(text)) - starts[which]
-    docs = np.array([runs[i][1] for i in some], np.int64)
     window = inside + LENGTH <= sizes[which]
-    doc = np.where(window, docs[which], np.iinfo(np.int64).max)[order]
+    doc = np.where(window, doc_of[some][which], np.iinfo(np.int64).max)[order]
     at = np.flatnonzero(begins)
     least = np.repeat(np.minimum.reduceat(doc, at), np.diff(np.concatenate([at, [len(doc)]])))
     found = np.sort(order[(doc > least) & window[order]])
     if not len(found):
-        return
+        return np.zeros((0, 3), np.int64)
     cut = np.flatnonzero(np.concatenate([[True], np.diff(found) != 1]))
-    for a, b in zip(found[cut].tolist(), found[np.concatenate([cut[1:], [len(found)]]) - 1].tolist(), strict=True):
-        k = int(which[a])
-        spans[some[k]].append((int(inside[a]), int(inside[b]) + LENGTH))
+    a, b = found[cut], found[np.concatenate([cut[1:], [len(found)]]) - 1]
+    return np.stack([np.array(some, np.int64)[which[a]], inside[a], inside[b] + LENGTH], axis=1)
 
 
 def apply_ranges(table: pa.Table, flags: pa.Table, keep_text: bool) -> pa.Table:
