@@ -33,7 +33,8 @@ LENGTH = 50
 GRAM = 16
 #: An anchor in this many groups is hot.
 HOT_GROUPS = 1000
-_PLACE = 26
+#: Positions that minima are taken over at once, and bits that hold one.
+_BLOCK, _PLACE = 1 << 16, 20
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -52,10 +53,16 @@ def _loads(raw: np.ndarray) -> np.ndarray:
     return out[: len(raw)]
 
 
-def _gram_hashes(load: np.ndarray) -> np.ndarray:
-    """Hashes of the 16 bytes from each position on."""
-    later = np.concatenate([load[8:], np.zeros(min(8, len(load)), np.uint64)])
-    return _mix(_mix(load + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + later)
+def _gram_hashes(load: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """Hashes of 16 bytes, given as two numbers each."""
+    h = load * np.uint64(0x9E3779B97F4A7C15)
+    h += later * np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 class Group:
@@ -83,35 +90,38 @@ class Group:
         sizes = np.array([len(self.texts[i]) for i in own], np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(own) else np.zeros(0, np.int64)
         self.base = dict(zip(own, starts.tolist(), strict=True))
-        parts: list[tuple[np.ndarray, ...]] = []
         self.load = _loads(self.raw)
-        if len(self.raw) >= LENGTH:
-            h = _gram_hashes(self.load)
-            place = np.uint64((1 << _PLACE) - 1)
-            step = 1 << (_PLACE - 1)
-            for low in range(0, len(h), step):
-                v = h[low : low + step + LENGTH]
-                v = (v & ~place) | np.arange(len(v), dtype=np.uint64)
-                for k in (1, 2, 4, 8, 16):
-                    v = np.minimum(v[:-k], v[k:])
-                v = np.minimum(v[: len(v) - 3], v[3:])
-                w = min(step, len(h) - LENGTH + 1 - low)
-                if w > 0:
-                    parts.append((v[:w] & place).astype(np.int64) + low)
-        if not parts:
+        n = len(self.raw) - LENGTH + 1
+        if n < 1:
             self.row = self.first = self.last = np.zeros(0, np.int64)
             self.key = np.zeros(0, np.uint64)
             return
-        anchor = np.concatenate(parts)
-        doc = np.repeat(np.arange(len(own)), sizes)[: len(anchor)]
-        valid = np.arange(len(anchor)) + LENGTH <= (starts + sizes)[doc]
-        at = np.flatnonzero(valid)
-        cut = np.concatenate([[True], (anchor[at][1:] != anchor[at][:-1]) | (doc[at][1:] != doc[at][:-1])])
-        begin = np.flatnonzero(cut)
-        self.first = at[begin]
-        self.last = at[np.concatenate([begin[1:], [len(at)]]) - 1]
-        self.row = np.array(own, np.int64)[doc[self.first]]
-        self.key = h[anchor[self.first]]
+        place = np.uint64((1 << _PLACE) - 1)
+        places = np.arange(_BLOCK + LENGTH, dtype=np.uint64)
+        anchor = np.empty(n, np.int64)
+        for low in range(0, n, _BLOCK):
+            many = min(_BLOCK, n - low) + LENGTH - GRAM
+            v = _gram_hashes(self.load[low : low + many], self.load[low + 8 : low + 8 + many])
+            v &= ~place
+            v |= places[:many]
+            for k in (1, 2, 4, 8, 16):
+                v = np.minimum(v[:-k], v[k:])
+            v = np.minimum(v[:-3], v[3:])
+            v &= place
+            anchor[low : low + len(v)] = v
+            anchor[low : low + len(v)] += low
+        # No window crosses the end of a document.
+        ends = (starts + sizes)[:-1]
+        crossing = (ends[:, None] - np.arange(1, LENGTH)).ravel()
+        anchor[crossing] = -1
+        change = np.flatnonzero(anchor[1:] != anchor[:-1])
+        first = np.concatenate([[0], change + 1])
+        last = np.concatenate([change, [n - 1]])
+        real = anchor[first] >= 0
+        self.first, self.last = first[real], last[real]
+        self.row = np.array(own, np.int64)[np.searchsorted(starts, self.first, side="right") - 1]
+        at = anchor[self.first]
+        self.key = _gram_hashes(self.load[at], self.load[at + 8])
 
 
 def _groups(key: np.ndarray) -> np.ndarray:
@@ -123,7 +133,8 @@ def report_anchors(table: pa.Table, buckets: int) -> pa.Table:
     group = Group(table)
     group.find_runs()
     pid = table.column("pid")[0].as_py()
-    keys = np.unique(group.key)
+    keys = np.sort(group.key)
+    keys = keys[_groups(keys)]
     b = (keys % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(b, kind="stable")
     keys, b = keys[order], b[order]
@@ -141,7 +152,7 @@ def match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     if not keys:
         return
     key, pid = np.concatenate(keys), np.concatenate(pids)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key, pid = key[order], pid[order]
     at = _groups(key)
     sizes = np.diff(np.concatenate([at, [len(key)]]))
@@ -254,10 +265,10 @@ def _ranges(found: np.ndarray) -> bytes:
 
 
 def suffix_order(text: np.ndarray, depth: int = 64) -> np.ndarray:
-    """Positions of ``text`` in the order of the ``depth`` bytes from them on, by doubling."""
+    """Positions of ``text`` in the order of the ``depth`` bytes from them on, by doubling; equals in any order."""
     n = len(text)
     key = _loads(text)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     length = 8
     while True:
         same = np.concatenate([[0], (key[order][1:] != key[order][:-1]).astype(np.int64)])
@@ -268,7 +279,7 @@ def suffix_order(text: np.ndarray, depth: int = 64) -> np.ndarray:
         later = np.zeros(n, np.int64)
         later[: max(0, n - length)] = rank[length:] + 1
         key = rank << 32 | later
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         length *= 2
 
 
@@ -299,19 +310,11 @@ def prefix_classes(text: np.ndarray, order: np.ndarray, length: int = LENGTH) ->
         block = np.repeat(np.arange(len(low)), sizes) * 256 + before[rows] + named
         named += len(low) * 256
         stamp[image] = block
-        ends = image[stamp[image + 1] != block] + 1
-        new = ends[~begins[ends]]
-        if not len(new):
-            break
-        begins[new] = True
-        new.sort()
-        # The block that ends at a new boundary starts where its stamp does.
-        image.sort()
-        cut = np.flatnonzero(np.concatenate([[True], (np.diff(image) != 1) | (stamp[image[1:]] != stamp[image[:-1]])]))
-        starts = image[cut]
-        stops = image[np.concatenate([cut[1:], [len(image)]]) - 1] + 1
-        pick = np.isin(stops, new, assume_unique=True)
-        low, high = starts[pick], stops[pick]
+        starts = np.sort(image[stamp[image - 1] != block])
+        ends = np.sort(image[stamp[image + 1] != block]) + 1
+        new = ~begins[ends]
+        low, high = starts[new], ends[new]
+        begins[high] = True
     return begins[:n]
 
 
