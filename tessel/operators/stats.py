@@ -89,16 +89,16 @@ def nearest_percentile(values: DataFrame, column: str, shares: dict[str, float])
 
     Values are counted first, so the running count is over distinct values.
     """
-    counts = values.groupBy(column).agg(F.count("*").alias("c"))
-    run = counts.withColumn("upto", F.sum("c").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)))
-    total = counts.agg(F.sum("c").alias("n"))
+    counts = values.groupBy(column).agg(F.count("*").alias("_c"))
+    run = counts.withColumn("_upto", F.sum("_c").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)))
+    total = counts.agg(F.sum("_c").alias("_n"))
     rows = run.crossJoin(F.broadcast(total))  # one row
 
     def place(p: float) -> Column:
-        at = F.floor(F.col("n") * F.lit(p))
-        return F.when(at == 0, F.col("n")).otherwise(at)
+        at = F.floor(F.col("_n") * F.lit(p))
+        return F.when(at == 0, F.col("_n")).otherwise(at)
 
-    return rows.agg(*[F.min(F.when(F.col("upto") >= place(p), F.col(column))).cast("bigint").alias(name) for name, p in shares.items()])
+    return rows.agg(*[F.min(F.when(F.col("_upto") >= place(p), F.col(column))).cast("bigint").alias(name) for name, p in shares.items()])
 
 
 def balanced_accuracy(rows: DataFrame) -> DataFrame:
