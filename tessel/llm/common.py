@@ -58,8 +58,16 @@ def input_gb(spark: SparkSession, df: DataFrame) -> float:
     return float(str(size)) / 1e9
 
 
-def partitions_for(df: DataFrame, mb_each: float = 8.0, least: int = 0) -> int:
-    """Partitions of about ``mb_each`` MB of input, and at least the session's shuffle partitions."""
+#: Statistics beyond this many GB mean that the size is unknown.
+UNKNOWN_GB = 5e6
+
+
+def partitions_for(df: DataFrame, mb_each: float = 8.0) -> int:
+    """Partitions of about ``mb_each`` MB of input, and at least the session's shuffle partitions.
+
+    Where the size is unknown (no file scan), as many as ``df`` has.
+    """
     spark = df.sparkSession
-    floor = max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return max(floor, int(input_gb(spark, df) * 1000 / mb_each) + 1)
+    floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    gb = input_gb(spark, df)
+    return max(floor, df.rdd.getNumPartitions() if gb > UNKNOWN_GB else int(gb * 1000 / mb_each) + 1)

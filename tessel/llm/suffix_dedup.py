@@ -289,7 +289,8 @@ def prefix_classes(text: np.ndarray, order: np.ndarray, length: int = LENGTH) ->
     Breadth-first backward extension over the Burrows-Wheeler transform: from the intervals whose common
     prefix is known come those that one more byte before makes. An interval that ends at a row where no
     common prefix is known yet tells its length, and is extended in the next round; intervals that tell
-    nothing new are dropped. Rounds end at ``length``.
+    nothing new are dropped. Rounds end at ``length``. The transform is taken around the end of the text, so the
+    text must end with a byte that the prefixes asked about do not hold.
     """
     n = len(text)
     before = text[order - 1]
