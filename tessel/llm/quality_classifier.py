@@ -172,7 +172,11 @@ def classify(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, model: RuleModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, with their columns, that the model does not reject."""
-    own = docs.columns
-    rows = docs.select(F.struct(*own).alias("whole"), F.col(text_col).alias("text"))
-    return with_statistics(rows, "text").where(model.column() >= threshold).select("whole.*")
+    """The rows of ``docs``, with their columns, that the model does not reject.
+
+    The score passes through ``explode``: a filter is not pushed below it, where it would compute each statistic again for
+    every rule that names it.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("whole"), F.col(text_col).alias("text"))
+    scored = with_statistics(rows, "text").select("whole", model.column().alias("score"))
+    return scored.select("whole", F.explode(F.array("score")).alias("score")).where(F.col("score") >= threshold).select("whole.*")
