@@ -46,8 +46,16 @@ def communities(triples: DataFrame, rounds: int = 20) -> DataFrame:
         labels = new
         if not changed:
             break
-    numbers = labels.select("label").distinct().groupBy().agg(F.array_sort(F.collect_set("label")).alias("xs")).select(F.posexplode("xs").alias("community", "label"))
-    return labels.join(numbers, "label").select("node", F.col("community").cast("bigint").alias("community"))
+    return labels.join(number(labels.select("label").distinct(), "label", "community"), "label").select("node", "community")
+
+
+def number(keys: DataFrame, key: str, name: str) -> DataFrame:
+    """Distinct keys with their place in order, from 0: ranges are counted, and each numbers its own keys after those before."""
+    ranged = cut(keys.repartitionByRange(key).withColumn("_p", F.spark_partition_id()))
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")  # a row for each range
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(key))
+    return ranged.join(before, "_p").select(key, (own - 1 + F.col("_b")).cast("bigint").alias(name))
 
 
 def community_facts(triples: DataFrame, members: DataFrame, limit: int = 25, order: str = "ord") -> DataFrame:

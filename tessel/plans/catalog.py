@@ -39,6 +39,21 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 # -- shared frames and their SQL ---------------------------------------------------------------------------------------
 
 
+#: Queries that are broadcast to a scan at once.
+QUERY_BLOCK = 4096
+
+
+def in_blocks(queries: DataFrame, use: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``use`` over blocks of a query set (by qid) small enough to broadcast, united."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    out = None
+    for i in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i) if blocks > 1 else queries
+        found = use(F.broadcast(own))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def docs(s: SparkSession, d: str) -> DataFrame:
     return io.table(s, d, "documents")
 
@@ -48,9 +63,9 @@ def asked(s: SparkSession, d: str) -> DataFrame:
 
 
 def qrels(s: SparkSession, d: str) -> DataFrame:
-    """qid, id, grade by containment of the passages, a stated and bounded query set, in every document."""
+    """qid, id, grade by containment of the passages, a stated query set, in every document."""
     passages = asked(s, d).select("qid", "question", F.expr("substr(question, 21, 60)").alias("middle"))
-    both = docs(s, d).select(F.col("doc_id").alias("id"), "text").join(F.broadcast(passages), F.contains("text", F.col("middle")))
+    both = in_blocks(passages, lambda p: docs(s, d).select(F.col("doc_id").alias("id"), "text").join(p, F.contains("text", F.col("middle"))))
     return both.select("qid", "id", F.when(F.contains("text", F.col("question")), 2).otherwise(1).alias("grade"))
 
 
@@ -562,7 +577,7 @@ def token_pairs(s: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
 @query("maxsim", f"{SIM_SQL} {sql_top('select * from sim', 10)}")
 def maxsim(s: SparkSession, d: str) -> DataFrame:
     """The stated query set against every vector, read as eight token vectors."""
-    every = vectors(s, d).select("id").crossJoin(F.broadcast(vector_queries(s, d).select("qid")))
+    every = in_blocks(vector_queries(s, d).select("qid"), lambda q: vectors(s, d).select("id").crossJoin(q))
     return lexical.top(token_pairs(s, d, every), 10)
 
 
