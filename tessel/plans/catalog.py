@@ -1175,7 +1175,7 @@ def graph_stats(s: SparkSession, d: str) -> DataFrame:
     return graph.stats(triples(s, d), regions(s, d))
 
 
-# -- named but not built in the source of the survey ---------------------------------------------------------------------
+# -- further operators -------------------------------------------------------------------------------------------------
 
 
 @query("metadata_filter", sql_top("select d.doc_id % 10 as qid, d.doc_id as id, n_chars::double as score from documents d where lang = 'en'", 5))
