@@ -1,7 +1,8 @@
 """From raw documents to packed training windows, in five stages.
 
 Each stage takes the documents that the stage before it left and returns them with the columns of
-``documents``; the last returns pieces of packed windows.
+``documents``; the last returns pieces of packed windows. Null and empty texts, null ids and sources, repeated rows and
+empty tables pass each stage with the result that its operator's docstring states; other columns are left out.
 """
 
 from __future__ import annotations

@@ -71,3 +71,8 @@ def partitions_for(df: DataFrame, mb_each: float = 8.0) -> int:
     floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
     gb = input_gb(spark, df)
     return max(floor, df.rdd.getNumPartitions() if gb > UNKNOWN_GB else int(gb * 1000 / mb_each) + 1)
+
+
+def keep_ids(docs: DataFrame, kept: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``kept``, and those without an id, which nothing tells apart."""
+    return docs.join(kept, id_col, "left_semi").select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

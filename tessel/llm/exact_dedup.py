@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessel.llm.common import keep_ids
+
 WIDE = "decimal(38,0)"
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -70,6 +72,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with their columns, that stay in their group of equal texts."""
+    """The rows of ``docs``, with their columns, that stay in their group of equal texts; rows with a null id all stay.
+
+    Rows that repeat an id stay or go together. Empty texts are one group. An empty table stays empty.
+    """
     kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").select(*docs.columns)
+    return keep_ids(docs, kept, id_col)

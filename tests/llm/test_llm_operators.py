@@ -355,3 +355,12 @@ def test_context_tree_is_a_distribution_and_weights_depths():
     assert seen > unseen and -seen / math.log10(2) / len(text) < 0.6
     flat = lm_scoring.build_tree(np.zeros(1, int), np.zeros(1, np.int64), np.zeros((1, 256)))
     assert flat.score([b"xyz"])[0] == pytest.approx(4 * math.log10(1 / 256), rel=1e-5)
+
+
+def test_filters_keep_columns_and_rows_without_id(docs, empty):
+    for keep in (exact_dedup.keep_winners, ngram_join.keep_one):
+        left = keep(docs)
+        assert left.columns == docs.columns and left.where("doc_id is null").count() == 1
+        ids = {r["doc_id"] for r in left.collect()}
+        assert 4 in ids and 5 not in ids
+        assert keep(empty).count() == 0
