@@ -128,6 +128,12 @@ def _groups(key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
 
 
+def _slices(key: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal numbers begins and ends; none of an empty array."""
+    at = _groups(key).tolist()
+    return list(zip(at, [*at[1:], len(key)][: len(at)], strict=True))
+
+
 def report_anchors(table: pa.Table, buckets: int) -> pa.Table:
     """bucket, pid, keys: the group's distinct anchors."""
     group = Group(table)
@@ -138,8 +144,8 @@ def report_anchors(table: pa.Table, buckets: int) -> pa.Table:
     b = (keys % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(b, kind="stable")
     keys, b = keys[order], b[order]
-    cuts = _groups(b).tolist()
-    return pa.table({"bucket": pa.array(b[cuts], pa.int32()), "pid": pa.array([pid] * len(cuts), pa.int32()), "keys": pa.array([keys[x:y].tobytes() for x, y in zip(cuts, [*cuts[1:], len(keys)], strict=True)], pa.binary())})
+    cuts = _slices(b)
+    return pa.table({"bucket": pa.array([int(b[x]) for x, _ in cuts], pa.int32()), "pid": pa.array([pid] * len(cuts), pa.int32()), "keys": pa.array([keys[x:y].tobytes() for x, y in cuts], pa.binary())})
 
 
 def match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,9 +166,9 @@ def match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     key, pid, hot = key[n > 1], pid[n > 1], n[n > 1] >= HOT_GROUPS
     order = np.lexsort((hot, pid))
     key, pid, hot = key[order], pid[order], hot[order]
-    cuts = _groups(pid * 2 + hot).tolist()
+    cuts = _slices(pid * 2 + hot)
     for a in range(0, len(cuts), 1000):
-        some = list(zip(cuts[a : a + 1000], [*cuts[1:], len(key)][a : a + 1000], strict=True))
+        some = cuts[a : a + 1000]
         yield pa.RecordBatch.from_pydict({"pid": pa.array([int(pid[x]) for x, _ in some], pa.int32()), "hot": pa.array([bool(hot[x]) for x, _ in some], pa.bool_()), "keys": pa.array([key[x:y].tobytes() for x, y in some], pa.binary())})
 
 
@@ -246,8 +252,7 @@ def send_runs(pid: int, table: pa.Table, shared: pa.Table, buckets: int) -> pa.T
         b = (one[stay] % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(b, kind="stable")
         b, one, two, r, place = b[order], one[stay][order], two[stay][order], r[stay][order], place[stay][order]
-        cuts = _groups(b).tolist()
-        for x, y in zip(cuts, [*cuts[1:], len(b)], strict=True):
+        for x, y in _slices(b):
             rows.append((int(b[x]), HOT, pid, *_packed(one[x:y].tobytes() + two[x:y].astype("<u4").tobytes() + group.ids[r[x:y]].tobytes() + np.stack([r[x:y], place[x:y]], axis=1).astype("<i4").tobytes())))
     if goes:
         rows.append((pid % buckets, GOES, pid, *_packed(_ranges(np.array(goes, np.int64)))))
@@ -349,8 +354,7 @@ def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     goes = np.concatenate(found)
     goes = goes[np.argsort(goes[:, 0], kind="stable")]
-    cuts = _groups(goes[:, 0]).tolist()
-    for x, y in zip(cuts, [*cuts[1:], len(goes)], strict=True):
+    for x, y in _slices(goes[:, 0]):
         yield pa.RecordBatch.from_pydict({"pid": pa.array([int(goes[x, 0])], pa.int32()), "ranges": pa.array([_ranges(goes[x:y, 1:])], pa.binary())})
 
 

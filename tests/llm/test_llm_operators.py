@@ -364,3 +364,8 @@ def test_filters_keep_columns_and_rows_without_id(docs, empty):
         ids = {r["doc_id"] for r in left.collect()}
         assert 4 in ids and 5 not in ids
         assert keep(empty).count() == 0
+
+
+def test_suffix_dedup_of_short_texts_alone(spark):
+    rows = spark.createDataFrame([(1, "short"), (2, "short"), (3, None), (4, "x" * 50), (5, "y" * 49)], "doc_id bigint, text string")
+    assert {(r["doc_id"], r["n_removed"]) for r in suffix_dedup.remove_repeats(rows).collect()} == {(i, 0) for i in range(1, 6)}
