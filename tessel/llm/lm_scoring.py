@@ -1,11 +1,16 @@
 """Language-model scoring by context-tree weighting over bytes, beside an add-one word model.
 
-Each byte is eight binary decisions, each with its own context tree over the bytes before. Nodes hold
-Krichevsky-Trofimov estimates; weighting mixes the estimates of all depths along a context's path, with
-the weights that the training text itself gives. Trees are learned from counts of byte 6-grams over
-the whole training corpus, which meet in a shuffle; the most frequent contexts become nodes, so that
-the model has a fixed greatest size, and contexts beyond share one leaf below their longest node.
-Scoring walks the tree for all positions at once. Both models see A-Z in lower case.
+Each byte is eight binary decisions, each with its own context tree over the bytes before. Every context
+of the training corpus is a node and holds Krichevsky-Trofimov estimates; weighting mixes the estimates of
+all depths along a context's path, with the weights that the training text itself gives. Both models see
+A-Z in lower case.
+
+The tree stays distributed. Counts of the byte 6-grams of all texts meet in a shuffle by the latest
+``SUBTREE`` bytes of context, so that each subtree is whole in one row; the levels above are bounded by
+their alphabet (65,793 nodes) and are summed and broadcast. Two passes over the subtrees, upwards for the
+weights and downwards for the predictions, give a table of every 6-gram's log-probability. 6-grams of a
+fixed least share of the corpus are broadcast from it; the rest of each text's 6-grams meets it in a join,
+where no key is hot.
 
 Word counts of the training corpus stay distributed. Words that hold at least a hundred-thousandth of
 all tokens (so 100,000 of them at most) are broadcast; the rest of each text's words meets its counts
@@ -24,11 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import materialize
+from tessel.llm.common import materialize, partitions_for
 
 DEPTH = 5
-#: Contexts that become nodes at most; each holds 256 predictions of four bytes.
-MAX_NODES = 20_000
+#: Latest bytes of context that subtrees are dealt by; the levels above are summed and broadcast.
+SUBTREE = 3
+#: 6-grams whose log-probabilities are broadcast at most; the others are joined. No result depends on it.
+MAX_NODES = 3_000_000
+#: 6-grams of whole subtrees that a row holds, about.
+PACK = 500_000
 #: A word is broadcast if it holds this share of all training tokens.
 HOT_SHARE = 1e-5
 #: Distinct keys that a task gathers before it passes its counts on.
@@ -46,51 +55,93 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return raw, np.concatenate([[0], np.cumsum(sizes)[:-1]])
 
 
-def count_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """gram (bytes of a 6-gram, the latest lowest), n over all of ``docs``."""
+def _codes(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct 6-grams of ``texts`` and their counts, in blocks."""
+    raw, starts = _joined(texts)
+    for low in range(0, len(raw), 1 << 22):
+        part = raw[max(0, low - DEPTH) : low + (1 << 22)].astype(np.int64)
+        code = np.zeros(max(0, len(part) - DEPTH), np.int64)
+        for i in range(DEPTH + 1):
+            code = code << 8 | part[i : len(part) - DEPTH + i]
+        first = max(low, DEPTH)
+        skipped = (starts[:, None] + np.arange(DEPTH)).ravel() - first
+        keep = np.ones(len(code), bool)
+        keep[skipped[(skipped >= 0) & (skipped < len(code))]] = False
+        yield np.unique(code[keep], return_counts=True)
+
+
+def _merged(grams: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct ``grams`` in order, and the sums of their ``counts``."""
+    if not len(grams):
+        return grams, *counts
+    order = np.argsort(grams, kind="stable")
+    grams = grams[order]
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    return grams[first], *[np.add.reduceat(n[order], first) for n in counts]
+
+
+def count_grams(rows: DataFrame) -> DataFrame:
+    """gram (bytes of a 6-gram, the latest lowest), n (in rows to learn from), total (in all rows), by task, over text and learn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, ...]] = []
         pending = 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            c, n = np.concatenate(codes), np.concatenate(counts)
-            order = np.argsort(c, kind="stable")
-            c, n = c[order], n[order]
-            first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-            return c[first], np.add.reduceat(n, first)
-
-        def out(c: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def out(c: np.ndarray, n: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
             for a in range(0, len(c), 50_000):
-                yield pa.RecordBatch.from_pydict({"gram": pa.array(c[a : a + 50_000]), "n": pa.array(n[a : a + 50_000])})
+                yield pa.RecordBatch.from_pydict({"gram": pa.array(c[a : a + 50_000]), "n": pa.array(n[a : a + 50_000]), "total": pa.array(total[a : a + 50_000])})
 
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                raw, starts = _joined([(t or "").encode().lower() for t in batch.column(0).slice(at, 1000).to_pylist()])
-                for low in range(0, len(raw), 1 << 22):
-                    part = raw[max(0, low - DEPTH) : low + (1 << 22)].astype(np.int64)
-                    code = np.zeros(max(0, len(part) - DEPTH), np.int64)
-                    for i in range(DEPTH + 1):
-                        code = code << 8 | part[i : len(part) - DEPTH + i]
-                    first = max(low, DEPTH)
-                    skipped = (starts[:, None] + np.arange(DEPTH)).ravel() - first
-                    keep = np.ones(len(code), bool)
-                    keep[skipped[(skipped >= 0) & (skipped < len(code))]] = False
-                    c, n = np.unique(code[keep], return_counts=True)
-                    codes.append(c)
-                    counts.append(n)
-                    pending += len(c)
+                piece = batch.slice(at, 1000)
+                learn = piece.column(1).to_pylist()
+                texts = [(t or "").encode().lower() for t in piece.column(0).to_pylist()]
+                for side in (True, False):
+                    own = [t for t, k in zip(texts, learn, strict=True) if k == side]
+                    for c, n in _codes(own) if own else ():
+                        held.append((c, n * side, n))
+                        pending += len(c)
                 if pending > 4 * FLUSH:
-                    c, n = merged()
-                    codes, counts, pending = [c], [n], len(c)
+                    held = [_merged(*map(np.concatenate, zip(*held, strict=True)))]
+                    pending = len(held[0][0])
                     if pending > 2 * FLUSH:
-                        yield from out(c, n)
-                        codes, counts, pending = [], [], 0
-        if codes:
-            yield from out(*merged())
+                        yield from out(*held[0])
+                        held, pending = [], 0
+        if held:
+            yield from out(*_merged(*map(np.concatenate, zip(*held, strict=True))))
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return rows.select("text", "learn").mapInArrow(run, "gram bigint, n bigint, total bigint")
+
+
+def pack_subtrees(grams: DataFrame, partitions: int) -> DataFrame:
+    """gram, n, total (arrays of 64-bit integers): each row holds whole subtrees, with every 6-gram of theirs once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+        if not parts:
+            return
+        gram, n, total = _merged(*map(np.concatenate, zip(*parts, strict=True)))
+        parts.clear()
+        order = np.argsort(_subtree_first(gram))
+        gram, n, total = gram[order], n[order], total[order]
+        root = gram >> 8 & (1 << 8 * SUBTREE) - 1
+        ends = np.append(np.flatnonzero(root[1:] != root[:-1]) + 1, len(root))
+        a = 0
+        while a < len(gram):
+            b = int(ends[min(len(ends) - 1, np.searchsorted(ends, a + PACK))])
+            yield pa.RecordBatch.from_pydict({"gram": pa.array([gram[a:b].tobytes()]), "n": pa.array([n[a:b].tobytes()]), "total": pa.array([total[a:b].tobytes()])})
+            a = b
+
+    root = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * SUBTREE) - 1))
+    return grams.repartition(partitions, root).mapInArrow(run, "gram binary, n binary, total binary")
+
+
+def _subtree_first(gram: np.ndarray) -> np.ndarray:
+    """6-grams with the bytes of context turned round, so that subtrees of every depth stand together in order."""
+    key = gram >> 8 & 255
+    for i in range(2, DEPTH + 1):
+        key = key << 8 | gram >> 8 * i & 255
+    return key << 8 | gram & 255
 
 
 def _log_gamma_half(n: np.ndarray) -> np.ndarray:
@@ -202,23 +253,202 @@ def build_tree(depth_of: np.ndarray, context: np.ndarray, counts: np.ndarray) ->
     return ContextTree(log_p, child)
 
 
-def fit_tree(docs: DataFrame, text_col: str = "text", max_nodes: int = MAX_NODES) -> ContextTree:
-    """A context tree learned from every text of ``docs``; an empty table gives the tree that knows nothing."""
-    grams = materialize(count_grams(docs, text_col))
-    depths = F.explode(F.sequence(F.lit(1), F.lit(DEPTH))).alias("d")
-    each = grams.select("gram", "n", depths).select("d", "n", (F.col("gram") % 256).alias("next"), F.shiftright("gram", 8).bitwiseAND(F.expr("shiftleft(1L, 8 * d) - 1")).alias("context"))
-    contexts = each.groupBy("d", "context").agg(F.sum("n").alias("total"))
-    top = contexts.orderBy(F.desc("total"), "d", "context").limit(max_nodes - 1)
-    kept = top.toPandas().sort_values(["d", "context"])
-    spark = docs.sparkSession
-    nodes = spark.createDataFrame(kept[["d", "context"]].assign(node=range(1, len(kept) + 1)), "d int, context bigint, node int") if len(kept) else None
-    counts = np.zeros((len(kept) + 1, 256))
-    if nodes is not None:
-        found = each.join(F.broadcast(nodes), ["d", "context"]).groupBy("node", "next").agg(F.sum("n").alias("n")).toPandas()
-        counts[found["node"].to_numpy(), found["next"].to_numpy()] = found["n"].to_numpy()
-        root = grams.groupBy((F.col("gram") % 256).alias("next")).agg(F.sum("n").alias("n")).toPandas()
-        counts[0, root["next"].to_numpy()] = root["n"].to_numpy()
-    return build_tree(np.concatenate([[0], kept["d"].to_numpy(int)]), np.concatenate([[0], kept["context"].to_numpy(np.int64)]), counts)
+@dataclass
+class Decisions:
+    """The binary decisions of one depth and one bit: context and bits before (``ids``, in order), counts, and the own estimate's weight."""
+
+    ids: np.ndarray
+    pairs: np.ndarray
+    share: np.ndarray
+
+
+def _weigh(pairs: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weight of the own estimate, and the log of the weighted probability."""
+    own = _kt(pairs)
+    return 1 / (1 + np.exp(np.clip(children - own, -700, 700))), np.logaddexp(own, children) - np.log(2)
+
+
+def _up(ids: np.ndarray, bit: int) -> np.ndarray:
+    """Ids of the same decision one byte of context higher."""
+    return ids >> 8 + bit << bit | ids & (1 << bit) - 1
+
+
+def weigh_subtrees(key: np.ndarray, n: np.ndarray) -> tuple[list[list[Decisions]], list[np.ndarray]]:
+    """Decisions by depth (deepest first, down to ``SUBTREE``) and bit; and of depth ``SUBTREE``, the logs of weighted probabilities by bit."""
+    out: list[list[Decisions]] = []
+    weighted: list[np.ndarray] = []
+    for d in range(DEPTH, SUBTREE - 1, -1):
+        if d < DEPTH:
+            key, at = np.unique(key >> 16 << 8 | key & 255, return_inverse=True)
+            n = np.bincount(at, n, len(key))
+        level = []
+        for bit in range(8):
+            ids = key >> 8 - bit
+            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            ids = ids[first]
+            ones = np.add.reduceat(n * (key >> 7 - bit & 1), first)
+            pairs = np.stack([np.add.reduceat(n, first) - ones, ones], axis=1).astype(float)
+            if d == DEPTH:
+                level.append(Decisions(ids, pairs, np.ones(len(ids))))
+                weighted.append(_kt(pairs))
+            else:
+                children = np.bincount(np.searchsorted(ids, _up(out[-1][bit].ids, bit)), weighted[bit], len(ids))
+                share, weighted[bit] = _weigh(pairs, children)
+                level.append(Decisions(ids, pairs, share))
+        out.append(level)
+    return out, weighted
+
+
+@dataclass(frozen=True)
+class Top:
+    """Of the contexts one byte shorter than ``SUBTREE`` (in order): for each of 255 decisions, what the path down to there
+    predicts, and the weight left to deeper contexts."""
+
+    contexts: np.ndarray
+    known: np.ndarray
+    rest: np.ndarray
+
+
+def _one(pairs: np.ndarray) -> np.ndarray:
+    return (pairs[..., 1] + 0.5) / (pairs.sum(axis=-1) + 1)
+
+
+def weigh_top(context: np.ndarray, decision: np.ndarray, pairs: np.ndarray, children: np.ndarray) -> Top:
+    """The top of the tree, from counts of its deepest contexts' decisions and the summed logs of their children."""
+    contexts, at = np.unique(context, return_inverse=True)
+    counts, below = np.zeros((len(contexts), 255, 2)), np.zeros((len(contexts), 255))
+    counts[at, decision], below[at, decision] = pairs, children
+    levels = []
+    own = contexts
+    for d in range(SUBTREE - 1, -1, -1):
+        share, weighted = _weigh(counts, below)
+        shorter, up = np.unique(own >> 8, return_inverse=True)
+        levels.append((share, _one(counts), up))
+        if d:
+            above, sums = np.zeros((len(shorter), 255, 2)), np.zeros((len(shorter), 255))
+            np.add.at(above, up, counts)
+            np.add.at(sums, up, weighted)
+            own, counts, below = shorter, above, sums
+    known, rest = np.zeros((1, 255)), np.ones((1, 255))
+    for share, one, up in reversed(levels):
+        known = known[up] + rest[up] * share * one
+        rest = rest[up] * (1 - share)
+    return Top(contexts, known, rest)
+
+
+def predict(key: np.ndarray, n: np.ndarray, top: Top) -> np.ndarray:
+    """log10 probability of each 6-gram's last byte."""
+    levels, _ = weigh_subtrees(key, n)
+    out = np.zeros(len(key))
+    for bit in range(8):
+        above = None
+        for level in reversed(levels):
+            own = level[bit]
+            up = _up(own.ids, bit)
+            if above is None:
+                at = np.searchsorted(top.contexts, up >> bit), (1 << bit) - 1 + (up & (1 << bit) - 1)
+                known, rest = top.known[at], top.rest[at]
+            else:
+                at = np.searchsorted(above, up)
+                known, rest = known[at], rest[at]
+            known = known + rest * own.share * _one(own.pairs)
+            rest = rest * (1 - own.share)
+            above = own.ids
+        ids = key >> 8 - bit
+        at = np.cumsum(np.concatenate([[False], ids[1:] != ids[:-1]]))
+        p = np.clip(known, 1e-12, 1 - 1e-12)[at]
+        out += np.log10(np.where(key >> 7 - bit & 1, p, 1 - p))
+    return out
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield tuple(np.frombuffer(x, np.int64) for x in row)
+
+
+def fit_grams(rows: DataFrame) -> DataFrame:
+    """gram, log_p (log10 of its last byte's probability after the others), total (in all rows), for each 6-gram of ``rows``
+    (text, learn) under the tree learned from the rows with ``learn``."""
+    packs = materialize(pack_subtrees(count_grams(rows), partitions_for(rows)))
+
+    def upwards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for gram, n, _ in _unpacked(batches):
+            levels, weighted = weigh_subtrees(_subtree_first(gram), n)
+            for bit, own in enumerate(levels[-1]):
+                ids, at = np.unique(_up(own.ids, bit), return_inverse=True)
+                sums = [np.bincount(at, x, len(ids)) for x in (own.pairs[:, 0], own.pairs[:, 1], weighted[bit])]
+                yield pa.RecordBatch.from_pydict({"context": pa.array(ids >> bit), "decision": pa.array((1 << bit) - 1 + (ids & (1 << bit) - 1)), **{k: pa.array(x) for k, x in zip(("zeros", "ones", "children"), sums, strict=True)}})
+
+    schema = "context bigint, decision bigint, zeros double, ones double, children double"
+    found = packs.mapInArrow(upwards, schema).groupBy("context", "decision").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "children")]).toArrow()
+    context, decision, zeros, ones, children = (found[c].to_numpy() for c in ("context", "decision", "zeros", "ones", "children"))
+    sent = rows.sparkSession.sparkContext.broadcast(weigh_top(context, decision, np.stack([zeros, ones], axis=1), children))
+
+    def downwards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for gram, n, total in _unpacked(batches):
+            log_p = predict(_subtree_first(gram), n, sent.value)
+            for a in range(0, len(gram), 50_000):
+                yield pa.RecordBatch.from_pydict({"gram": pa.array(gram[a : a + 50_000]), "log_p": pa.array(log_p[a : a + 50_000]), "total": pa.array(total[a : a + 50_000])})
+
+    return materialize(packs.mapInArrow(downwards, "gram bigint, log_p double, total bigint"))
+
+
+class HotGrams:
+    """Log-probabilities of 6-grams in two hash tables; a 6-gram that finds no place in either is not held."""
+
+    def __init__(self, gram: np.ndarray, log_p: np.ndarray):
+        self.tables = []
+        for spare, factor in ((2, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F)):
+            shift = np.uint64(64 - max(4, len(gram).bit_length() + spare))
+            keys, values = np.full(1 << 64 - int(shift), -1, np.int64), np.zeros(1 << 64 - int(shift))
+            at = self._slot(gram, factor, shift)
+            keys[at], values[at] = gram, log_p
+            values[at] = np.where(keys[at] == gram, log_p, values[at])
+            self.tables.append((factor, shift, keys, values))
+            lost = keys[at] != gram
+            gram, log_p = gram[lost], log_p[lost]
+
+    @staticmethod
+    def _slot(gram: np.ndarray, factor: int, shift: np.uint64) -> np.ndarray:
+        return (gram.astype(np.uint64) * np.uint64(factor) >> shift).astype(np.int64)
+
+    def look_up(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log_p of each 6-gram (0 where it is not held), and the places of those not held."""
+        out, left = np.zeros(len(gram)), np.arange(len(gram))
+        for factor, shift, keys, values in self.tables:
+            own = gram[left]
+            at = self._slot(own, factor, shift)
+            same = keys[at] == own
+            out[left[same]] = values[at[same]]
+            left = left[~same]
+        return out, left
+
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """For each text, the sum over 6-grams held (its end symbol's included), and the others with how often each occurs."""
+        raw, starts = _joined(texts)
+        out = np.zeros(len(raw))
+        owners, grams = [], []
+        skip = np.zeros(len(raw), bool)
+        skip[(starts[:, None] + np.arange(DEPTH)).ravel()] = True
+        for low in range(DEPTH, len(raw), _CHUNK):
+            part = raw[low - DEPTH : low + _CHUNK].astype(np.int64)
+            n = len(part) - DEPTH
+            code = np.zeros(n, np.int64)
+            for i in range(DEPTH + 1):
+                code = code << 8 | part[i : n + i]
+            out[low : low + n], left = self.look_up(code)
+            left = left[~skip[low + left]]
+            owners.append(np.searchsorted(starts, low + left, side="right") - 1)
+            grams.append(code[left])
+        out[skip] = 0.0
+        owner, gram = np.concatenate(owners), np.concatenate(grams)
+        order = np.lexsort((gram, owner))
+        owner, gram = owner[order], gram[order]
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(gram)), bool), (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])]))
+        times = np.diff(np.append(first, len(gram))).astype(np.int32)
+        offsets = pa.array(np.searchsorted(owner[first], np.arange(len(texts) + 1)).astype(np.int32))
+        return np.add.reduceat(out, starts), pa.ListArray.from_arrays(offsets, pa.array(gram[first])), pa.ListArray.from_arrays(offsets, pa.array(times))
 
 
 def _tokens(text: str | None) -> list[bytes]:
@@ -255,7 +485,8 @@ def score_texts(docs: DataFrame, training: Column, held_out: Column, id_col: str
     ``training`` says which rows are learned from. Null text counts as empty: one token, the end, and
     the score of an end right at the start. Repeated rows are scored, and learned, each for itself. With
     nothing to learn from, every known count is 0. An empty table gives an empty result; no column but
-    the two named and those of the conditions is read.
+    the two named and those of the conditions is read. At most ``max_nodes`` 6-grams are broadcast, the others
+    joined; like ``hot_share``, this changes no result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), held_out.alias("held_out"), F.coalesce(training, F.lit(False)).alias("learn"))
@@ -265,10 +496,14 @@ def score_texts(docs: DataFrame, training: Column, held_out: Column, id_col: str
     total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = total + ends, kinds + (ends > 0)
     hot = {bytes(w): c for w, c in words.where(F.col("c") >= max(2.0, hot_share * n)).collect()}
-    sent = spark.sparkContext.broadcast((fit_tree(learn, max_nodes=max_nodes), {w: (i, c) for i, (w, c) in enumerate(hot.items())}))
+    table = fit_grams(rows)
+    positions = table.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    frequent = table.where(F.col("total") >= max(2.0, positions / max_nodes)).orderBy("total", "gram").select("gram", "log_p").toArrow()
+    sent = spark.sparkContext.broadcast((frequent["gram"].to_numpy(), frequent["log_p"].to_numpy(), {w: (i, c) for i, (w, c) in enumerate(hot.items())}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, common = sent.value
+        grams, values, common = sent.value
+        tree = HotGrams(grams, values)
         logs = {w: float(np.log10(c + 1)) for w, (_, c) in common.items()}
         part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -285,6 +520,7 @@ def score_texts(docs: DataFrame, training: Column, held_out: Column, id_col: str
                     tokens.append(held.total() + 1)
                     known.append(sum([k for k, _ in mine]))
                     base.append(sum([k * x for k, x in mine]))
+                score, cold_grams, gram_times = tree.score(texts)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "part": pa.array([part] * len(texts), pa.int32()),
@@ -295,18 +531,22 @@ def score_texts(docs: DataFrame, training: Column, held_out: Column, id_col: str
                         "n_tokens": pa.array(tokens, pa.int64()),
                         "known": pa.array(known, pa.int64()),
                         "base": pa.array(base, pa.float64()),
-                        "score": pa.array(tree.score(texts)),
+                        "score": pa.array(score),
                         "cold": pa.array(cold, pa.list_(pa.binary())),
                         "times": pa.array(times, pa.list_(pa.int32())),
+                        "cold_grams": cold_grams,
+                        "gram_times": gram_times,
                     }
                 )
                 row += len(texts)
 
-    schema = "part int, row bigint, doc_id bigint, held_out boolean, n_bytes bigint, n_tokens bigint, known bigint, base double, score double, cold array<binary>, times array<int>"
+    schema = "part int, row bigint, doc_id bigint, held_out boolean, n_bytes bigint, n_tokens bigint, known bigint, base double, score double, cold array<binary>, times array<int>, cold_grams array<bigint>, gram_times array<int>"
     scored = materialize(rows.select("doc_id", "text", "held_out").mapInArrow(run, schema))
     cold = scored.select("part", "row", F.explode(F.arrays_zip("cold", "times")).alias("x")).select("part", "row", F.col("x.cold").alias("word"), F.col("x.times").alias("k"))
     rare = cold.join(words, "word").groupBy("part", "row").agg(F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("rare_base"), F.sum("k").cast("bigint").alias("rare_known"))
-    whole = scored.drop("cold", "times").join(rare, ["part", "row"], "left")
+    seldom = scored.select("part", "row", F.explode(F.arrays_zip("cold_grams", "gram_times")).alias("x")).select("part", "row", F.col("x.cold_grams").alias("gram"), F.col("x.gram_times").alias("k"))
+    deep = seldom.join(table.select("gram", "log_p"), "gram").groupBy("part", "row").agg(F.sum(F.col("k") * F.col("log_p")).alias("rare_score"))
+    whole = scored.drop("cold", "times", "cold_grams", "gram_times").join(rare, ["part", "row"], "left").join(deep, ["part", "row"], "left").withColumn("score", F.col("score") + F.coalesce("rare_score", F.lit(0.0)))
     end = float(np.log10(ends + 1))
     each = float(np.log10(n + v + 1))
     return whole.select(

@@ -357,6 +357,28 @@ def test_context_tree_is_a_distribution_and_weights_depths():
     assert flat.score([b"xyz"])[0] == pytest.approx(4 * math.log10(1 / 256), rel=1e-5)
 
 
+@pytest.mark.parametrize("most", [20, 500, lm_scoring.MAX_NODES])
+def test_lm_scores_by_every_context(spark, local, most):
+    rows = [(i, t) for i, t in local if i is not None]
+    table = collections.defaultdict(lambda: np.zeros(256))
+    for i, t in rows:
+        if i % 3:
+            padded = b"\0" * lm_scoring.DEPTH + (t or "").encode().lower() + b"\0"
+            for p in range(lm_scoring.DEPTH, len(padded)):
+                for d in range(lm_scoring.DEPTH + 1):
+                    table[d, int.from_bytes(padded[p - d : p], "big")][padded[p]] += 1
+    keys = sorted(table)
+    tree = lm_scoring.build_tree(np.array([d for d, _ in keys]), np.array([c for _, c in keys], np.int64), np.stack([table[k] for k in keys]))
+    want = collections.defaultdict(set)
+    for (i, _), x in zip(rows, tree.score([(t or "").encode().lower() for _, t in rows]), strict=True):
+        want[i].add(float(x))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    learn = F.col("doc_id") % 3 != 0
+    got = lm_scoring.score_texts(docs, learn, ~learn, max_nodes=most).collect()
+    assert len(keys) > 500 and len(got) == len(rows)
+    assert all(any(r["score"] == pytest.approx(x, rel=1e-4) for x in want[r["doc_id"]]) for r in got)
+
+
 def test_filters_keep_columns_and_rows_without_id(docs, empty):
     for keep in (exact_dedup.keep_winners, ngram_join.keep_one):
         left = keep(docs)
