@@ -36,15 +36,17 @@ QUANTUM = 128
 MAX_QUEUES = 1024
 #: Part offsets that are broadcast at most (rows of about 24 bytes); beyond, they are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Added tokens of the JSON form, which are found in plain text.
+ADDED = {"<|endoftext|>": 50256}
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 @lru_cache(1)
 def _encoder(ranks_path: str) -> tiktoken.Encoding:
-    """The byte-level BPE whose ranks lie at ``ranks_path``; it gives the ids of the JSON form of the same vocabulary."""
+    """The byte-level BPE whose ranks lie at ``ranks_path``; it gives the ids of the JSON form of the same vocabulary, added tokens included."""
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
 
 
 def tokenised(docs: DataFrame, ranks_path: str, queues: dict[str, int] | None) -> DataFrame:
@@ -60,7 +62,7 @@ def tokenised(docs: DataFrame, ranks_path: str, queues: dict[str, int] | None) -
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 piece = batch.slice(at, 512)
-                ids = [np.array([*encoder.encode_ordinary(t or ""), END_ID], "<u2") for t in piece.column(1).to_pylist()]
+                ids = [np.array([*encoder.encode(t or "", allowed_special="all"), END_ID], "<u2") for t in piece.column(1).to_pylist()]
                 queue = [queues[s or ""] if queues is not None else zlib.crc32((s or "").encode()) % MAX_QUEUES for s in piece.column(2).to_pylist()]
                 start = []
                 for q, x in zip(queue, ids, strict=True):

@@ -238,6 +238,20 @@ def test_packing_is_whole_and_gapless(docs, local, empty):
     assert packing.pack(empty, ranks).count() == 0
 
 
+def test_packing_finds_added_tokens(spark):
+    tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {t.content: i for i, t in tk.get_added_tokens_decoder().items()} == packing.ADDED
+    end = "<|endoftext|>"
+    texts = [f"hello {end} world", end, f"{end}{end}", f"a{end}b", f"  {end}  \n{end}", f"{end[:-1]} {end[1:]}", "<|ENDOFTEXT|>", f"don't{end}'s 1{end}2", f"é{end}漢"]
+    got = packing.pack(spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id bigint, text string, source string"), public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    for i, t in enumerate(texts):
+        ids = np.array([*tk.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        own = [r for r in got if r["doc_id"] == i]
+        assert sum(r["length"] for r in own) == len(ids)
+        for r in own:
+            assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
+
+
 def test_schedule_keeps_shares():
     lengths = [7000, 2000, 900, 100, 0, 37]
     served = packing.schedule(lengths, 256, 32)
