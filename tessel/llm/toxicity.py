@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import remainder
+from tessel.llm.common import materialize, remainder
 from tessel.llm.quality_classifier import sample_labels
 
 FIT_ROWS = 20_000
@@ -88,8 +88,8 @@ def entries_of(text: str | None) -> set[str]:
 
 
 def prune(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> tuple[tuple[str, float], ...]:
-    """The lexicon from (toxic, clean) holders of each entry: an entry gives way to a longer one that has nearly all of its
-    holders, and a longer one to a kept beginning."""
+    """The lexicon from (toxic, clean) holders of each entry, out of ``toxic`` and ``clean`` groups of copies: an entry gives
+    way to a longer one that has nearly all of its holders, and a longer one to a kept beginning."""
     longest: dict[str, int] = {}
     for e, (p, _) in counts.items():
         stem = e.rstrip()
@@ -111,7 +111,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     """A lexicon from labelled documents whose ``crc32(id) mod 3`` is not 1, about ``fit_rows`` of them.
 
     Copies of a document count as one holder: holders are told apart by the least hash of their 5-word
-    runs. Entries are counted in Spark; the driver receives those that pass the thresholds.
+    runs. An entry that is a label (others begin with a blank) counts all holders of it. Entries are counted in Spark;
+    the driver receives those that pass the thresholds.
     """
     ids = sample_labels(labels.withColumnRenamed(id_col, "doc_id"), label, remainder(F.col("doc_id"), 3) != 1, fit_rows)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "doc_id").select("text", "y")
@@ -122,17 +123,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
             for text, label_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = fold(text).split()
                 mark = min((xxhash.xxh3_64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))), default=0) >> 1
-                own = entries_of(text)
+                own = {"toxic" if label_ > 0.5 else "clean", *entries_of(text)}
                 entry += own
                 sign += [mark] * len(own)
                 y += [label_] * len(own)
             yield pa.RecordBatch.from_pydict({"entry": pa.array(entry, pa.string()), "mark": pa.array(sign, pa.int64()), "y": pa.array(y, pa.float64())})
 
     held = rows.mapInArrow(spread, "entry string, mark bigint, y double").groupBy("entry", "mark").agg(F.max("y").alias("y"))
-    by_entry = held.groupBy("entry").agg(F.sum("y").cast("bigint").alias("p"), F.sum(1 - F.col("y")).cast("bigint").alias("n"))
-    totals = rows.groupBy("y").count().collect()
-    toxic, clean = (sum(r["count"] for r in totals if (r["y"] > 0.5) == k) for k in (True, False))
-    passing = by_entry.where((F.col("p") >= max(MIN_GROUPS, MIN_SHARE * toxic)) & (F.col("p") >= MIN_PURITY * (F.col("p") + F.col("n")))).collect()
+    by_entry = materialize(held.groupBy("entry").agg(F.sum("y").cast("bigint").alias("p"), F.sum(1 - F.col("y")).cast("bigint").alias("n")))
+    totals = {r["entry"]: r["p"] + r["n"] for r in by_entry.where(F.col("entry").isin("toxic", "clean")).collect()}
+    toxic, clean = totals.get("toxic", 0), totals.get("clean", 0)
+    passing = by_entry.where(F.col("entry").startswith(" ") & (F.col("p") >= max(MIN_GROUPS, MIN_SHARE * toxic)) & (F.col("p") >= MIN_PURITY * (F.col("p") + F.col("n")))).collect()
     weights = prune({r["entry"]: (r["p"], r["n"]) for r in passing}, toxic, clean)
     lexicon = Lexicon(weights, 0.005)
     got = rows.mapInArrow(_densities(lexicon), "y double, density double").toPandas()

@@ -211,6 +211,20 @@ def test_toxicity_folds_and_spares(spark, empty):
     assert toxicity.score_toxicity(empty, lexicon).count() == 0
 
 
+def test_toxicity_counts_groups_of_copies(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(9))) for i in range(200)]
+    rows += [(1000 + i, "you are a stupid moron on this day of ours") for i in range(1500)]  # copies of one text
+    rows += [(3000 + i, " ".join(f"r{i}x{k}" for k in range(9)) + " blockhead") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    lexicon = toxicity.fit(docs, spark.createDataFrame([(i, int(i >= 1000)) for i, _ in rows], "doc_id bigint, toxic int"))
+    sampled = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    clean, holders = sum(i < 1000 for i in sampled), sum(i >= 3000 for i in sampled)
+    held = {e: w for e, w in lexicon.weights if "blockhead".startswith(e.strip())}
+    assert holders >= 3 and held
+    want = math.log((holders + 0.5) / (holders + 2) * (clean + 1) / 0.5)
+    assert all(w == pytest.approx(want) for w in held.values())
+
+
 def test_packing_is_whole_and_gapless(docs, local, empty):
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
