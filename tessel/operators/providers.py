@@ -164,9 +164,10 @@ def answer(questions: DataFrame, contexts: DataFrame, provider: Generator) -> Da
     return generate(rows, F.concat("question", F.lit("\n\n"), "context"), provider, "answer").withColumn("abstained", F.contains("answer", F.lit(NO_ANSWER)))
 
 
-def judge(rows: DataFrame, question: str, text: str, provider: Generator, limit: int = 1500) -> DataFrame:
-    """``rows`` with a boolean ``relevant``: the model's yes or no on the pair; no where the reply cannot be read."""
-    replied = generate(rows, F.concat(F.col(question), F.lit("\n---\n"), F.substring(text, 1, limit)), provider)
+def judge(rows: DataFrame, question: str, text: str, provider: Generator, limit: int | None = 1500) -> DataFrame:
+    """``rows`` with a boolean ``relevant``: the model's yes or no on the pair, of whose text it sees ``limit`` characters or all; no where the reply cannot be read."""
+    seen = F.col(text) if limit is None else F.substring(text, 1, limit)
+    replied = generate(rows, F.concat(F.col(question), F.lit("\n---\n"), seen), provider)
     return replied.withColumn("relevant", F.coalesce(F.from_json("reply", "yes boolean")["yes"], F.lit(False))).drop("reply")
 
 

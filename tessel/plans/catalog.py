@@ -1014,7 +1014,7 @@ def naive_rag(s: SparkSession, d: str) -> DataFrame:
 def check_faithfulness(s: SparkSession, d: str) -> DataFrame:
     near = ranking(s, d, k=3).join(docs(s, d).select(F.col("doc_id").alias("id"), "text"), "id").select("qid", "rank", "text")
     answered = providers.answer(asked(s, d), near, providers.RuleGenerator("answer")).where(~F.col("abstained"))
-    return providers.judge(answered, "answer", "context", providers.RuleGenerator("yes_no")).select("qid", F.col("relevant").alias("supported"))
+    return providers.judge(answered, "answer", "context", providers.RuleGenerator("yes_no"), limit=None).select("qid", F.col("relevant").alias("supported"))
 
 
 CONDITIONS_SQL = f"""with {FIRST_SQL}, {QRELS_SQL}, cond as (
