@@ -10,6 +10,8 @@ another language, the best single language is the optimum.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +30,22 @@ SWITCH, WORD_CAP = 14.0, 8.0
 TABLE_BITS = 18
 #: Words that a task's score table holds at most.
 WORD_TABLE = 200_000
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _letters() -> re.Pattern[str]:
+    r"""Runs of letters (Unicode's L): what ``\w`` takes without digits, the underscore and signs that only count, such as ² or Ⅷ."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
+    odd = [ord(c) for c in re.findall(r"[^\W\d_]", every) if unicodedata.category(c)[0] != "L"]
+    spans: list[list[int]] = []
+    for i in odd:
+        if spans and spans[-1][1] == i - 1:
+            spans[-1][1] = i
+        else:
+            spans.append([i, i])
+    return re.compile(r"[^\W\d_" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]+")
+
+
+LETTERS = _letters()
 #: First code point of each script range and the script that starts there.
 SCRIPTS = ((0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "indic"), (0xE00, "thai"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1E00, "latin"), (0x1F00, "greek"), (0x3040, "kana"), (0x3400, "han"), (0xAC00, "hangul"), (0xD7B0, "han"))
 _STARTS = [a for a, _ in SCRIPTS]
@@ -199,7 +216,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     Null text and text without a letter give ``und`` with score 0, as does a model without languages.
     Ties go to the first language by name. Whole texts are read, each row for itself; repeated rows
-    agree; an empty table gives an empty result; no column but the two named is read.
+    agree; an empty table gives an empty result; no column but the two named is read. Very long texts are read whole.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
