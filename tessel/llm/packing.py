@@ -1,12 +1,14 @@
 """Mixture-controlled packing into fixed windows by deficit round-robin over source queues.
 
 Documents are tokenised once, in place, and written with their place in their task's part of their
-source queue. Prefix sums over tasks then give each document its token range in its queue. The token
-order of every queue is cut into equally many slices, slice r of every queue going to packing range r:
-the cuts are ``floor(total * r / ranges)``, so what a queue is owed below one token carries over from
-range to range, and every range holds the corpus mixture. Within a range, deficit round-robin fills
-window after window. The schedule depends on the queues' totals alone, so each task computes the
-windows of its own documents: nothing but a few totals is shuffled or sent.
+source queue. Prefix sums over tasks then give each document its token range in its queue.
+
+Target proportions say what each queue is owed of the first T tokens, for every T: its share while it lasts, and
+a larger one once another queue has ended. Packing ranges cut T evenly; slice r of a queue holds the whole tokens
+that it is owed up to the end of range r and not before. What it is owed beyond whole tokens is the deficit that
+the next range begins with. Within a range, deficit round-robin fills window after window, and deficits carry from
+window to window. The schedule depends on the queues' totals alone, so each task computes the windows of its own
+documents: nothing but a few totals is shuffled or sent.
 
 The tokens of a range that do not fill a window form windows of powers of two, which need no padding.
 """
@@ -15,8 +17,10 @@ from __future__ import annotations
 
 import base64
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
+from fractions import Fraction
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +36,8 @@ WINDOW = 2048
 #: Tokens of a packing range, about; tokens that a queue is served at once at least, while it has them.
 RANGE_TOKENS = 1 << 21
 QUANTUM = 128
-#: Queues at most; with more sources, sources share queues by hash. Bounds what every task holds.
+#: Queues at most, which bounds what every task holds. With more sources, sources share queues by hash: every document is
+#: packed all the same, and the mixture is that of the queues.
 MAX_QUEUES = 1024
 #: Part offsets that are broadcast at most (rows of about 24 bytes); beyond, they are joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -49,6 +54,11 @@ def _encoder(ranks_path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
 
 
+def queue_of(source: str, queues: dict[str, int] | None) -> int | None:
+    """The queue of a source, by ``queues`` or, without them, by a hash; None for a source that has none."""
+    return zlib.crc32(source.encode()) % MAX_QUEUES if queues is None else queues.get(source)
+
+
 def tokenised(docs: DataFrame, ranks_path: str, queues: dict[str, int] | None) -> DataFrame:
     """part, queue, start (in the queue's tokens of this part), n, doc_id, ids (little-endian unsigned 16-bit, end id included).
 
@@ -63,7 +73,7 @@ def tokenised(docs: DataFrame, ranks_path: str, queues: dict[str, int] | None) -
             for at in range(0, batch.num_rows, 512):
                 piece = batch.slice(at, 512)
                 ids = [np.array([*encoder.encode(t or "", allowed_special="all"), END_ID], "<u2") for t in piece.column(1).to_pylist()]
-                queue = [queues[s or ""] if queues is not None else zlib.crc32((s or "").encode()) % MAX_QUEUES for s in piece.column(2).to_pylist()]
+                queue = [queue_of(s or "", queues) for s in piece.column(2).to_pylist()]
                 start = []
                 for q, x in zip(queue, ids, strict=True):
                     start.append(filled.get(q, 0))
@@ -84,20 +94,20 @@ def part_offsets(tokens: DataFrame, block: int = 256) -> DataFrame:
     return each.join(blocks, ["queue", "block"]).select("part", "queue", (F.col("in_block") + F.col("block_base")).alias("base"))
 
 
-def schedule(lengths: list[int], window: int = WINDOW, quantum: int = QUANTUM) -> list[list[tuple[int, int, int, int]]]:
+def schedule(lengths: list[int], window: int = WINDOW, quantum: int = QUANTUM, owed: list[float] | None = None, due: list[float] | None = None) -> list[list[tuple[int, int, int, int]]]:
     """Deficit round-robin over queues of ``lengths`` tokens: for each queue its services (start, length, window, offset).
 
-    Each window owes each queue its share of the range's tokens. Queues are visited in turn; one that
-    is owed a quantum, or all that it has left, is served what it is owed. If a whole turn serves none, the
-    queue that is owed most borrows. Deficits carry from window to window.
+    Each window owes each queue its share of the range's tokens: of ``due``, or of ``lengths``. Queues are visited in
+    turn; one that is owed a quantum, or all that it has left, is served what it is owed. If a whole turn serves none,
+    the queue that is owed most borrows. Deficits begin at ``owed`` (0) and carry from window to window.
     """
     total = sum(lengths)
     sizes = [window] * (total // window)
     rest = total % window
     sizes += [1 << k for k in reversed(range(rest.bit_length())) if rest >> k & 1]
     left = list(lengths)
-    owed = [0.0] * len(lengths)
-    share = [n / total if total else 0.0 for n in lengths]
+    owed = list(owed) if owed else [0.0] * len(lengths)
+    share = [n / total if total else 0.0 for n in due or lengths]
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in lengths]
     live = [q for q, n in enumerate(lengths) if n]
     turn = 0
@@ -129,37 +139,73 @@ def schedule(lengths: list[int], window: int = WINDOW, quantum: int = QUANTUM) -
     return out
 
 
-class _Ranges:
-    """Schedules of packing ranges, the latest few kept."""
+def phases(totals: list[int], weights: list[Fraction]) -> list[tuple[Fraction, list[Fraction], list[Fraction]]]:
+    """(tokens before, tokens of each queue before, rate of each queue) from the start on, a phase for each time that a queue ends.
+
+    Queues with weight share the tokens by weight; when all of them have ended, the others share by what they have.
+    """
+    at, used = Fraction(0), [Fraction(0)] * len(totals)
+    out = []
+    while any(n > u for n, u in zip(totals, used, strict=True)):
+        live = [q for q, n in enumerate(totals) if n > used[q]]
+        own = {q: weights[q] for q in live if weights[q]} or {q: totals[q] - used[q] for q in live}
+        whole = sum(own.values())
+        rate = [Fraction(own.get(q, 0)) / whole for q in range(len(totals))]
+        out.append((at, list(used), rate))
+        span = min((totals[q] - used[q]) / rate[q] for q in own)
+        at += span
+        used = [u + span * x for u, x in zip(used, rate, strict=True)]
+    return out
+
+
+class Ranges:
+    """Slices of the queues and schedules of packing ranges, the latest few kept."""
 
-    def __init__(self, totals: list[int], range_tokens: int, window: int, quantum: int):
+    def __init__(self, totals: list[int], weights: list[Fraction] | None, range_tokens: int, window: int, quantum: int):
         self.totals, self.window, self.quantum = totals, window, quantum
         self.count = max(1, sum(totals) // range_tokens)
         self.stride = 2 * range_tokens // window + 4 * len(totals) + 64
+        self.phases = phases(totals, weights or [Fraction(n) for n in totals])
+        self.begins = [p[0] for p in self.phases]
         self.kept: dict[int, list[np.ndarray]] = {}
+        self.latest: dict[int, int] = {}
+        self.owed_at = cache(self._owed_at)
 
-    def bounds(self, queue: int, r: int) -> tuple[int, int]:
-        return self.totals[queue] * r // self.count, self.totals[queue] * (r + 1) // self.count
+    def _owed_at(self, r: int) -> list[Fraction]:
+        """What each queue is owed of the tokens before range ``r``."""
+        if not self.phases:
+            return [Fraction(0)] * len(self.totals)
+        t = Fraction(sum(self.totals) * r, self.count)
+        begin, used, rate = self.phases[bisect_right(self.begins, t) - 1]
+        return [u + (t - begin) * x for u, x in zip(used, rate, strict=True)]
+
+    def bound(self, queue: int, r: int) -> int:
+        return int(self.owed_at(r)[queue])
 
     def services(self, queue: int, r: int) -> np.ndarray:
         if r not in self.kept:
             if len(self.kept) >= 64:
                 self.kept.pop(next(iter(self.kept)))
-            lengths = [b - a for a, b in (self.bounds(q, r) for q in range(len(self.totals)))]
-            self.kept[r] = [np.array(x, np.int64).reshape(-1, 4) for x in schedule(lengths, self.window, self.quantum)]
+            before, after = self.owed_at(r), self.owed_at(r + 1)
+            lengths = [int(b) - int(a) for a, b in zip(before, after, strict=True)]
+            served = schedule(lengths, self.window, self.quantum, [float(a - int(a)) for a in before], [float(b - a) for a, b in zip(before, after, strict=True)])
+            self.kept[r] = [np.array(x, np.int64).reshape(-1, 4) for x in served]
         return self.kept[r][queue]
 
+    def range_of(self, queue: int, a: int) -> int:
+        """The range whose slice of the queue holds token ``a``."""
+        r = self.latest.get(queue, 0)
+        if not self.bound(queue, r) <= a < self.bound(queue, r + 1):
+            r = bisect_right(range(1, self.count + 1), a, key=lambda x: self.bound(queue, x))
+        self.latest[queue] = r
+        return r
+
     def pieces(self, queue: int, a: int, b: int) -> list[tuple[int, int, int, int]]:
         """The tokens [a, b) of a queue as (start, length, sequence, offset)."""
         out = []
-        total = self.totals[queue]
-        r = min(self.count - 1, a * self.count // total)
-        while r + 1 < self.count and self.bounds(queue, r)[1] <= a:
-            r += 1
-        while r > 0 and self.bounds(queue, r)[0] > a:
-            r -= 1
         while a < b:
-            low, high = self.bounds(queue, r)
+            r = self.range_of(queue, a)
+            low, high = self.bound(queue, r), self.bound(queue, r + 1)
             s = self.services(queue, r)
             end = min(b, high)
             k = int(np.searchsorted(s[:, 0], a - low, side="right")) - 1
@@ -170,15 +216,16 @@ class _Ranges:
                 out.append((a, n, r * self.stride + w, offset + inside))
                 a += n
                 k += 1
-            r += 1
         return out
 
 
-def pack(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", window: int = WINDOW, range_tokens: int = RANGE_TOKENS, quantum: int = QUANTUM) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", window: int = WINDOW, range_tokens: int = RANGE_TOKENS, quantum: int = QUANTUM, targets: dict[str, float] | None = None) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    The mixture is that of the corpus by source tokens. Null text counts as empty and packs its end id
+    ``targets`` gives each source's share of the tokens, by which windows are filled as long as its documents last;
+    sources without one come last. None takes the shares of the corpus. Null text counts as empty and packs its end id
     alone; null sources share the queue of the empty name. Each row is packed for itself, repeated ids too.
+    Very long texts are tokenised and cut whole.
     Window sizes are ``window`` or smaller powers of two, so nothing is padded. An empty table gives an
     empty result, and only the three named columns are read.
     """
@@ -189,9 +236,16 @@ def pack(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str
     offsets = materialize(part_offsets(tokens.select("part", "queue", "n")))
     found = dict(tokens.groupBy("queue").agg(F.sum("n")).collect())
     totals = [int(found.get(q, 0)) for q in range(max(found, default=-1) + 1)]
+    weights = None
+    if targets is not None:
+        weights = [Fraction(0)] * len(totals)
+        for source, share in targets.items():
+            q = queue_of(source, queues)
+            if q is not None and q < len(totals):
+                weights[q] += Fraction(share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranges = _Ranges(totals, range_tokens, window, quantum)
+        ranges = Ranges(totals, weights, range_tokens, window, quantum)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 chunk = batch.slice(at, 1024)

@@ -4,7 +4,9 @@ import collections
 import hashlib
 import math
 import re
+import unicodedata
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -83,14 +85,20 @@ def test_language_spans_and_undetermined(spark):
     table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     model = language_id.fit(table, F.lit(True))
     mixed = " ".join(en[:3]) + " " + " ".join(de[:2])
-    ask = spark.createDataFrame([(1, mixed), (2, None), (3, "123 !!"), (4, de[0]), (5, "привет мир")], "doc_id bigint, text string")
+    ask = spark.createDataFrame([(1, mixed), (2, None), (3, "123 !!"), (4, de[0]), (5, "привет мир"), (6, "½ ² ① Ⅷ"), (7, "")], "doc_id bigint, text string")
     got = {r["doc_id"]: r for r in language_id.identify(ask, model).collect()}
     assert got[1]["lang_pred"] == "en" and [s["lang"] for s in got[1]["spans"]] == ["en", "de"]
-    assert got[2]["lang_pred"] == got[3]["lang_pred"] == "und" and got[4]["lang_pred"] == "de"
+    assert {got[i]["lang_pred"] for i in (2, 3, 6, 7)} == {"und"} and got[4]["lang_pred"] == "de"
     assert all(0 <= r["score"] <= 1 for r in got.values())
     assert language_id.identify(ask, language_id.fit(table.limit(0), F.lit(True))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_letters_are_those_of_unicode():
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    found = set("".join(language_id.LETTERS.findall(every)))
+    assert found == {c for c in every if unicodedata.category(c)[0] == "L"}
+
+
 def _best_path(scores, switch):
     n, k = scores.shape
     best = {(0, j): (scores[0, j], [j]) for j in range(k)}
@@ -157,7 +165,7 @@ def test_bounds_never_rule_out_a_link():
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.93], rng.integers(0, 2**64, int(rng.integers(0, n // 8 + 1)), dtype=np.uint64)]))
         shared = len(np.intersect1d(a, b))
         if len(b) and 9 * shared >= 4 * (len(a) + len(b)):
-            counts = [ngram_join.fragment_counts(x)[None, :] for x in (a, b)]
+            counts = [ngram_join.range_counts(x)[None, :] for x in (a, b)]
             assert ngram_join.may_link(*counts, np.array([len(a)]), np.array([len(b)]))[0]
             assert ngram_join.bits_allow(ngram_join.bit_map(a), ngram_join.bit_map(b), len(a), len(b))
 
@@ -277,6 +285,46 @@ def test_schedule_keeps_shares():
             assert abs(done - w * 256 * n / total) <= 2 * 256
 
 
+@pytest.mark.parametrize("weights", [None, [1, 3, 0, 0, 2]])
+def test_ranges_hold_every_token_once_by_target_and_carry_deficits(weights):
+    totals = [10_000, 5_000, 37, 0, 811]
+    share = [Fraction(x) for x in weights or totals]
+    ranges = packing.Ranges(totals, share if weights else None, 2048, 256, 32)
+    windows = collections.defaultdict(list)
+    for q, n in enumerate(totals):
+        at = 0
+        for a in range(0, n, 700):  # documents of 700 tokens
+            for start, length, seq, offset in ranges.pieces(q, a, min(n, a + 700)):
+                assert start == at
+                at += length
+                windows[seq].append((offset, length, q))
+        assert at == n
+    first_end = min(sum(share) * n / w for n, w in zip(totals, share, strict=True) if w)
+    done, served = 0, [0] * len(totals)
+    for seq in sorted(windows):
+        at = 0
+        for offset, length, q in sorted(windows[seq]):
+            assert offset == at
+            at += length
+            served[q] += length
+        assert at <= 256 and at & (at - 1) == 0
+        done += at
+        if done <= first_end:  # no queue has ended: each is within two windows of its target
+            assert all(abs(served[q] - done * w / sum(share)) <= 2 * 256 for q, w in enumerate(share))
+    assert served == totals
+    deficits = [[x - int(x) for x in ranges.owed_at(r)] for r in range(ranges.count + 1)]
+    assert any(any(d) for d in deficits[1:-1]) and not any(deficits[-1])
+
+
+def test_packing_takes_target_proportions(spark):
+    rows = [(i, f"word {i} " * 50, "ab"[i % 2]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), window=64, range_tokens=256, quantum=8, targets={"b": 1.0}).collect()
+    stride = packing.Ranges([1, 1], None, 256, 64, 8).stride
+    first, second = ({r["sequence_id"] // stride for r in got if r["doc_id"] % 2 == k} for k in (1, 0))
+    assert max(first) <= min(second) < max(second)  # a has no target and comes last; one range may hold both
+
+
 def test_exact_dedup_by_brute_force(docs, local, empty):
     groups = collections.defaultdict(list)
     for i, t in local:
@@ -287,10 +335,11 @@ def test_exact_dedup_by_brute_force(docs, local, empty):
         keep = min(named, key=lambda m: (-m[1], m[0]))[0] if named else None
         for i, _ in members:
             want[i] = (keep, len(members), hashlib.sha256(norm.encode()).hexdigest())
-    got = exact_dedup.exact_dedup(docs).collect()
-    assert len(got) == len(local)
-    for r in got:
-        assert (r["keep_id"], r["group_size"], r["text_sha256"]) == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == r["keep_id"])
+    for chars in (64, 1, 0):  # and digests that many texts share
+        got = exact_dedup.exact_dedup(docs, digest_chars=chars).collect()
+        assert len(got) == len(local)
+        for r in got:
+            assert (r["keep_id"], r["group_size"], r["text_sha256"]) == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == r["keep_id"])
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
