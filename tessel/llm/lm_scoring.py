@@ -484,7 +484,7 @@ def score_texts(docs: DataFrame, training: Column, held_out: Column, id_col: str
 
     ``training`` says which rows are learned from. Null text counts as empty: one token, the end, and
     the score of an end right at the start. Repeated rows are scored, and learned, each for itself. With
-    nothing to learn from, every known count is 0. An empty table gives an empty result; no column but
+    nothing to learn from, every known count is 0. Very long texts are scored whole, in blocks. An empty table gives an empty result; no column but
     the two named and those of the conditions is read. At most ``max_nodes`` 6-grams are broadcast, the others
     joined; like ``hot_share``, this changes no result.
     """

@@ -78,7 +78,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null text counts as empty: every measure 0, distances 0, base_failed true, kept false. Histograms
     of texts under ``MIN_CHARS`` characters or ``MIN_WORDS`` words give no verdict of their own; they
     pass. Repeated rows are judged each for itself, an empty table gives an empty result, and only the
-    two named columns are read.
+    two named columns are read. Very long texts are measured whole.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))

@@ -74,7 +74,7 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     With ``full`` false, ids and decoded are left out and only n_tokens and the digests return. Null
     text counts as empty: no ids, empty decoded text. Each row is encoded for itself, so repeated rows
-    agree; an empty table gives an empty result; no column but the two named is read.
+    agree; an empty table gives an empty result; no column but the two named is read. Very long texts are encoded whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -156,7 +156,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
     """One row for each row of ``docs``: doc_id, held_out, score, predicted, n_matches and the matched patterns.
 
     Null and empty texts score 0, as does every text under an empty lexicon. Whole texts are read, each
-    row for itself; repeated rows agree; an empty table gives an empty result; no column but the two
+    row for itself, very long ones too; repeated rows agree; an empty table gives an empty result; no column but the two
     named is read.
     """
 
