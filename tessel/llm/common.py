@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of every contract: space and U+0009 to U+000D.
@@ -52,6 +55,31 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, *aggregates: Column) -> tuple[DataFrame, tuple]:
+    """:func:`materialize`, and ``aggregates`` over the rows, taken while they are written."""
+    seen = Observation()
+    named = [a.alias(f"_{i}") for i, a in enumerate(aggregates)]
+    kept = materialize(df.observe(seen, *named))
+    got = seen.get
+    return kept, tuple(got[f"_{i}"] for i in range(len(named)))
+
+
+def by_key(batches: Iterator[pa.RecordBatch], key: int, mb: float = 32.0) -> Iterator[pa.Table]:
+    """Tables of about ``mb`` MB from batches in order of their column ``key``, cut only where it changes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) < mb * 1e6:
+            continue
+        column = batch.column(key)
+        same = pc.sum(pc.equal(column, column[len(column) - 1])).as_py()
+        if same < len(column):
+            yield pa.Table.from_batches([*held[:-1], batch.slice(0, len(column) - same)])
+            held = [batch.slice(len(column) - same)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def input_gb(spark: SparkSession, df: DataFrame) -> float:
     """Size of ``df`` in GB as the optimizer's statistics give it (file sizes for a scan)."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
@@ -60,17 +88,20 @@ def input_gb(spark: SparkSession, df: DataFrame) -> float:
 
 #: Statistics beyond this many GB mean that the size is unknown.
 UNKNOWN_GB = 5e6
+#: Shuffle partitions that an operator asks for at most; what must fit in memory together is smaller than a partition.
+MOST_PARTITIONS = 50_000
 
 
-def partitions_for(df: DataFrame, mb_each: float = 8.0) -> int:
-    """Partitions of about ``mb_each`` MB of input, and at least the session's shuffle partitions.
+def shares_of(df: DataFrame, mb_each: float) -> int:
+    """Shares of about ``mb_each`` MB of input. Where the size is unknown (no file scan), as many as ``df`` has partitions."""
+    gb = input_gb(df.sparkSession, df)
+    return df.rdd.getNumPartitions() if gb > UNKNOWN_GB else int(gb * 1000 / mb_each) + 1
 
-    Where the size is unknown (no file scan), as many as ``df`` has.
-    """
-    spark = df.sparkSession
-    floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    gb = input_gb(spark, df)
-    return max(floor, df.rdd.getNumPartitions() if gb > UNKNOWN_GB else int(gb * 1000 / mb_each) + 1)
+
+def partitions_for(df: DataFrame, mb_each: float = 8.0) -> int:
+    """Partitions of about ``mb_each`` MB of input, at least the session's shuffle partitions and at most ``MOST_PARTITIONS``."""
+    floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(floor, min(shares_of(df, mb_each), MOST_PARTITIONS))
 
 
 def keep_ids(docs: DataFrame, kept: DataFrame, id_col: str) -> DataFrame:
