@@ -9,8 +9,8 @@ consecutive windows with one anchor form a run. Equal windows have equal anchors
    Burrows-Wheeler transform and extends intervals backwards, breadth first: common prefixes of
    neighbouring suffixes come out by increasing length, and the search stops at ``LENGTH``. What is not
    split by then are the classes of equal windows; each window not in its class's least document goes.
-   Anchors in very many groups are hot: their windows are dealt by their own 96-bit hash instead, so that
-   no shard gets all surroundings of a frequent passage.
+   Anchors in very many groups are hot: each of their windows is a run of its own, dealt by its own hash, so that
+   no shard gets all surroundings of a frequent passage. It is compared in the same way.
 3. Each group gets the ranges of its documents that go.
 
 Equal runs meet within their group first, so a text with very many copies sends one run for each group.
@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import partitions_for
+from tessel.llm.common import by_key, partitions_for, shares_of
 
 LENGTH = 50
 GRAM = 16
-#: An anchor in this many groups is hot.
+#: An anchor in this many groups is hot. How its windows are dealt depends on it, and no result.
 HOT_GROUPS = 1000
+#: MB of input for each group of documents, and for each bucket of anchors.
+GROUP_MB, BUCKET_MB = 1.0, 4.0
 #: Positions that minima are taken over at once, and bits that hold one.
 _BLOCK, _PLACE = 1 << 16, 20
 
@@ -149,14 +151,16 @@ def report_anchors(table: pa.Table, buckets: int) -> pa.Table:
 
 
 def match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """pid, hot, keys: for each group, its anchors that another group has too."""
+    """pid, hot, keys: for each group, its anchors that another group has too, from rows in order of bucket."""
+    for table in by_key(batches, 0):
+        yield from _match(table)
+
+
+def _match(table: pa.Table) -> Iterator[pa.RecordBatch]:
     keys, pids = [], []
-    for batch in batches:
-        for pid, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            keys.append(np.frombuffer(blob, np.uint64))
-            pids.append(np.full(len(keys[-1]), pid, np.int32))
-    if not keys:
-        return
+    for pid, blob in zip(table.column(1).to_pylist(), table.column(2).to_pylist(), strict=True):
+        keys.append(np.frombuffer(blob, np.uint64))
+        pids.append(np.full(len(keys[-1]), pid, np.int32))
     key, pid = np.concatenate(keys), np.concatenate(pids)
     order = np.argsort(key)
     key, pid = key[order], pid[order]
@@ -174,8 +178,8 @@ def match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 _PIECE = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("pid", pa.int32()), ("size", pa.int64()), ("blob", pa.binary())])
 PIECE = "bucket int, kind int, pid int, size bigint, blob binary"
-#: Kinds of pieces: ranges that go; runs with their places; windows of hot anchors.
-GOES, RUN, HOT = 0, 1, 2
+#: Kinds of pieces: ranges that go; runs with their places.
+GOES, RUN = 0, 1
 _HEAD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("length", "<i4"), ("places", "<i4")])
 
 
@@ -221,39 +225,30 @@ def send_runs(pid: int, table: pa.Table, shared: pa.Table, buckets: int) -> pa.T
     dealt: dict[int, list[tuple[bytes, list]]] = {}
     for run, entry in runs.items():
         dealt.setdefault(entry[0] % buckets, []).append((run, entry))
-    for bucket, some in dealt.items():
-        head = np.array([(e[0], ids[e[1]], len(x), len(e) // 2) for x, e in some], _HEAD)
-        places = np.array([v for _, e in some for v in e[1:]], "<i4")
-        rows.append((bucket, RUN, pid, *_packed(np.array([len(some), len(places)], "<i8").tobytes() + head.tobytes() + places.tobytes() + b"".join([x for x, _ in some]))))
     picked = order[is_hot]
     if len(picked):
         lengths = group.last[picked] - group.first[picked] + 1
         owner = np.repeat(np.arange(len(picked)), lengths)
-        w = group.first[picked][owner] + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        one = np.zeros(len(w), np.uint64)
-        two = np.full(len(w), 7, np.uint64)
-        for k in (0, 8, 16, 24, 32, 40, LENGTH - 8):
-            x = group.load[w + k]
-            one = _mix(one * np.uint64(0x9E3779B97F4A7C15) + x)
-            two = _mix(two * np.uint64(0xC2B2AE3D27D4EB4F) ^ x)
-        two = two >> np.uint64(32)
+        at = group.first[picked][owner] + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         r = group.row[picked][owner]
-        offsets = np.zeros(len(group.texts), np.int64)
-        offsets[list(base)] = list(base.values())
-        place = w - offsets[r]
-        order = np.lexsort((place, r, two, one))
-        one, two, r, place = one[order], two[order], r[order], place[order]
-        at = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
-        sizes = np.diff(np.concatenate([at, [len(one)]]))
-        least = group.ids[np.repeat(r[at], sizes)]
-        later = group.ids[r] > least
+        windows = np.lib.stride_tricks.sliding_window_view(group.raw, LENGTH)[at].view(f"S{LENGTH}").ravel()
+        order = np.lexsort((at, r, windows))
+        at, r, windows = at[order], r[order], windows[order]
+        key = np.zeros(len(at), np.uint64)
+        for k in (0, 8, 16, 24, 32, 40, LENGTH - 8):
+            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + group.load[at + k])
+        cuts = np.flatnonzero(np.concatenate([[True], windows[1:] != windows[:-1]]))
+        later = group.ids[r] > group.ids[np.repeat(r[cuts], np.diff(np.concatenate([cuts, [len(r)]])))]
+        place = at - np.array([base.get(i, 0) for i in range(len(ids))], np.int64)[r]
         goes += zip(r[later].tolist(), place[later].tolist(), (place[later] + LENGTH).tolist(), strict=True)
-        stay = ~later
-        b = (one[stay] % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(b, kind="stable")
-        b, one, two, r, place = b[order], one[stay][order], two[stay][order], r[stay][order], place[stay][order]
-        for x, y in _slices(b):
-            rows.append((int(b[x]), HOT, pid, *_packed(one[x:y].tobytes() + two[x:y].astype("<u4").tobytes() + group.ids[r[x:y]].tobytes() + np.stack([r[x:y], place[x:y]], axis=1).astype("<i4").tobytes())))
+        for k, a, x, y in zip(key[cuts].tolist(), at[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=True):
+            same = ~later[x:y]
+            entry = [k, *np.stack([r[x:y][same], place[x:y][same]], axis=1).ravel().tolist()]
+            dealt.setdefault(k % buckets, []).append((raw[a : a + LENGTH], entry))
+    for bucket, some in dealt.items():
+        head = np.array([(e[0], ids[e[1]], len(x), len(e) // 2) for x, e in some], _HEAD)
+        places = np.array([v for _, e in some for v in e[1:]], "<i4")
+        rows.append((bucket, RUN, pid, *_packed(np.array([len(some), len(places)], "<i8").tobytes() + head.tobytes() + places.tobytes() + b"".join([x for x, _ in some]))))
     if goes:
         rows.append((pid % buckets, GOES, pid, *_packed(_ranges(np.array(goes, np.int64)))))
     return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_PIECE), _PIECE, strict=True)], schema=_PIECE)
@@ -325,34 +320,30 @@ def prefix_classes(text: np.ndarray, order: np.ndarray, length: int = LENGTH) ->
 
 
 def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """pid, ranges (row, start, end): what goes, from the pieces of a shard."""
+    """pid, ranges (row, start, end): what goes, from the pieces of a shard in order of bucket."""
+    for table in by_key(batches, 0, 8.0):  # compressed
+        yield from _judge_pieces(table)
+
+
+def _judge_pieces(table: pa.Table) -> Iterator[pa.RecordBatch]:
     heads, places, pids, texts = [], [], [], []
-    hot: list[tuple[int, bytes]] = []
-    for batch in batches:
-        for kind, pid, size, blob in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
-            blob = _unpacked(blob, size)
-            if kind == GOES:
-                yield pa.RecordBatch.from_pydict({"pid": pa.array([pid], pa.int32()), "ranges": pa.array([blob], pa.binary())})
-            elif kind == HOT:
-                hot.append((pid, blob))
-            else:
-                n, k = np.frombuffer(blob[:16], "<i8").tolist()
-                at = 16 + n * _HEAD.itemsize
-                heads.append(np.frombuffer(blob[16:at], _HEAD))
-                places.append(np.frombuffer(blob[at : at + 4 * k], "<i4").reshape(-1, 2))
-                pids.append(np.full(n, pid, np.int64))
-                at += 4 * k
-                for length in heads[-1]["length"].tolist():
-                    texts.append(blob[at : at + length])
-                    at += length
-    found = []
-    if texts:
-        found.append(_judge_runs(np.concatenate(heads), np.concatenate(places).astype(np.int64), np.concatenate(pids), texts))
-    if hot:
-        found.append(_judge_hot(hot))
-    if not found:
+    for kind, pid, size, blob in zip(*(table.column(i).to_pylist() for i in range(1, 5)), strict=True):
+        blob = _unpacked(blob, size)
+        if kind == GOES:
+            yield pa.RecordBatch.from_pydict({"pid": pa.array([pid], pa.int32()), "ranges": pa.array([blob], pa.binary())})
+            continue
+        n, k = np.frombuffer(blob[:16], "<i8").tolist()
+        at = 16 + n * _HEAD.itemsize
+        heads.append(np.frombuffer(blob[16:at], _HEAD))
+        places.append(np.frombuffer(blob[at : at + 4 * k], "<i4").reshape(-1, 2))
+        pids.append(np.full(n, pid, np.int64))
+        at += 4 * k
+        for length in heads[-1]["length"].tolist():
+            texts.append(blob[at : at + length])
+            at += length
+    if not texts:
         return
-    goes = np.concatenate(found)
+    goes = _judge_runs(np.concatenate(heads), np.concatenate(places).astype(np.int64), np.concatenate(pids), texts)
     goes = goes[np.argsort(goes[:, 0], kind="stable")]
     for x, y in _slices(goes[:, 0]):
         yield pa.RecordBatch.from_pydict({"pid": pa.array([int(goes[x, 0])], pa.int32()), "ranges": pa.array([_ranges(goes[x:y, 1:])], pa.binary())})
@@ -390,25 +381,8 @@ def _judge_runs(head: np.ndarray, places: np.ndarray, pid: np.ndarray, texts: li
     return np.concatenate(out)
 
 
-def _judge_hot(hot: list[tuple[int, bytes]]) -> np.ndarray:
-    """(pid, row, start, end) that go by windows of hot anchors."""
-    one, two, doc, pid, place = [], [], [], [], []
-    for p, blob in hot:
-        k = len(blob) // 28
-        for out, (kind, a, b) in zip((one, two, doc, place), (("<u8", 0, 8), ("<u4", 8, 12), ("<i8", 12, 20), ("<i4", 20, 28)), strict=True):
-            out.append(np.frombuffer(blob[a * k : b * k], kind))
-        pid.append(np.full(k, p, np.int64))
-    one, two, doc, pid = (np.concatenate(x) for x in (one, two, doc, pid))
-    place = np.concatenate(place).reshape(-1, 2).astype(np.int64)
-    order = np.lexsort((doc, two, one))
-    one, two, doc, pid, place = one[order], two[order], doc[order], pid[order], place[order]
-    at = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
-    later = np.flatnonzero(doc > np.repeat(doc[at], np.diff(np.concatenate([at, [len(doc)]]))))
-    return np.stack([pid[later], place[later, 0], place[later, 1], place[later, 1] + LENGTH], axis=1)
-
-
 #: Bytes of runs whose suffixes are sorted at once; runs of one anchor stay together.
-SORTED_BYTES = 1 << 23
+SORTED_BYTES = 1 << 21
 
 
 def _repeated(runs: list[bytes], key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -492,25 +466,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A byte goes if a string of 50 bytes that covers it also starts in a document of a smaller id; matches
     are judged on the input. Null text counts as empty; texts under 50 bytes stay whole. Rows that repeat
-    an id never take from each other. Rows with a null id stay whole and take nothing. A range may cut a
+    an id never take from each other. Rows with a null id stay whole and take nothing. Very long texts are read whole. A range may cut a
     character; the text left then drops the bytes of that character that remain (the digest keeps
     them). An empty table gives an empty result, and only the two named columns and those carried are read.
     """
     extra = [F.struct(*carry).alias("carried")] if carry else []
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), *extra)
-    n = partitions_for(rows, mb_each=1.0)
-    rows = rows.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(n)).cast("int").alias("pid"), *rows.columns)
-    anchors = rows.groupBy("pid").applyInArrow(lambda t: report_anchors(t, n), "bucket int, pid int, keys binary")
-    shared = anchors.repartition(n, "bucket").mapInArrow(match_anchors, "pid int, hot boolean, keys binary")
+    groups, buckets, tasks = shares_of(rows, GROUP_MB), shares_of(rows, BUCKET_MB), partitions_for(rows, BUCKET_MB)
+    groups = max(groups, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(buckets, tasks)
+    rows = rows.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(groups)).cast("int").alias("pid"), *rows.columns)
+    anchors = rows.groupBy("pid").applyInArrow(lambda t: report_anchors(t, buckets), "bucket int, pid int, keys binary")
+    shared = anchors.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(match_anchors, "pid int, hot boolean, keys binary")
     none = pa.table({"pid": pa.array([], pa.int32()), "hot": pa.array([], pa.bool_()), "keys": pa.array([], pa.binary())})
 
     def send(texts: pa.Table, keys: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return _PIECE.empty_table()
-        return send_runs(texts.column("pid")[0].as_py(), texts, keys if keys.num_rows else none, n)
+        return send_runs(texts.column("pid")[0].as_py(), texts, keys if keys.num_rows else none, buckets)
 
     pieces = rows.groupBy("pid").cogroup(shared.groupBy("pid")).applyInArrow(send, PIECE)
-    flags = pieces.repartition(n, "bucket").mapInArrow(judge, "pid int, ranges binary")
+    flags = pieces.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(judge, "pid int, ranges binary")
 
     def finish(texts: pa.Table, found: pa.Table) -> pa.Table:
         return apply_ranges(texts, found, keep_text)
