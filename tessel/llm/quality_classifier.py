@@ -103,7 +103,7 @@ def _lasso(a: np.ndarray, y: np.ndarray, strength: float, rounds: int = 400) ->
     """L1-penalised logistic regression by accelerated proximal gradient; the bias is not penalised."""
     n = len(y)
     a1 = np.hstack([np.ones((n, 1)), a])
-    rate = 4.0 * n / max(np.linalg.norm(a1, 2) ** 2, 1e-9)
+    rate = 4.0 * n / max(float(np.linalg.eigvalsh(a1.T @ a1)[-1]), 1e-9)
     w = z = np.zeros(a1.shape[1])
     t = 1.0
     for _ in range(rounds):
@@ -164,7 +164,7 @@ def classify(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col
 
     Null and empty texts get the score of a text with all statistics 0. Repeated rows are scored each
     for itself, a null id counts as the empty string in the split, an empty table gives an empty
-    result, and no column but the two named is read.
+    result, and no column but the two named is read. Very long texts are measured whole.
     """
     rows = with_statistics(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text")
     scored = rows.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), model.column().alias("score"))
