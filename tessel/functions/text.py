@@ -13,7 +13,8 @@ STOPWORDS = (
 )
 TOKENS_PER_WORD = 1.3
 WINDOW_TOKENS = 512
-NO_ANSWER = "NO_ANSWER"
+#: Fixed value: what a model says when its context does not hold the answer.
+NO_ANSWER = "INSUFFICIENT_CONTEXT"
 
 
 def tokenize(text: Column, drop_stopwords: bool = True) -> Column:

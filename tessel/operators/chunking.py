@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.functions.text import sentences, words
 
+#: Separators, those between larger units first.
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 
 
@@ -37,70 +42,89 @@ def fixed(text: Column, size: int = 200, overlap: int = 40) -> Column:
 def sentence(text: Column, size: int = 200, overlap: int = 1) -> Column:
     """Whole sentences packed greedily up to ``size`` words; each chunk begins with the last ``overlap`` sentences of the one before.
 
-    One fold over the sentences. A sentence over the size stands in a chunk of its own, with what is carried.
+    A sentence over the size stands in a chunk of its own, with what is carried. Texts are packed in Arrow batches: a fold over
+    arrays would copy what it has for each sentence.
     """
-    items = F.transform(sentences(text), lambda s: F.struct(s.alias("s"), F.size(words(s)).alias("n")))
-    kind = "array<struct<s:string,n:int>>"
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast(kind).alias("open"))
 
-    def total(xs: Column) -> Column:
-        return F.aggregate(xs, F.lit(0), lambda a, x: a + x["n"])
+    @F.pandas_udf("array<string>")
+    def pack(found: pd.Series, whole: pd.Series) -> pd.Series:
+        return pd.Series([pack_sentences(list(x), size, overlap) or [t] for x, t in zip(found, whole, strict=True)])
 
-    def joined(xs: Column) -> Column:
-        return F.array_join(F.transform(xs, lambda x: x["s"]), " ")
+    return pack(sentences(text), text)
 
-    def step(state: Column, item: Column) -> Column:
-        full = (F.size(state["open"]) > 0) & (total(state["open"]) + item["n"] > size)
-        carried = F.slice(state["open"], F.greatest(F.lit(1), F.size(state["open"]) - overlap + 1), overlap) if overlap else F.array().cast(kind)
-        done = F.when(full, F.concat(state["done"], F.array(joined(state["open"])))).otherwise(state["done"])
-        opened = F.concat(F.when(full, carried).otherwise(state["open"]), F.array(item))
-        return F.struct(done.alias("done"), opened.alias("open"))
 
-    packed = F.aggregate(items, start, step, lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(joined(s["open"])))).otherwise(s["done"]))
-    return F.when(F.size(items) == 0, F.array(text)).otherwise(packed)
+def pack_sentences(items: list[str], size: int, overlap: int) -> list[str]:
+    """Chunks as slices of ``items``: each reaches as far as the running word count allows, and one new sentence at least."""
+    upto = [0, *accumulate(len(s.split()) for s in items)]
+    out = []
+    first = end = 0
+    while end < len(items):
+        end = max(end + 1, bisect_right(upto, upto[first] + size) - 1)
+        out.append(" ".join(items[first:end]))
+        first = max(first, end - overlap)
+    return out
 
 
 def recursive(docs: DataFrame, id_col: str, text_col: str, size: int = 200, overlap: int = 40, separators: tuple[str, ...] = SEPARATORS) -> DataFrame:
-    """(id, ord, chunk): pieces at the first separator that the text holds, merged up to ``size`` words, longer ones cut further.
-
-    Level by level: each level folds the pieces of the rows it still has, settled chunks leave, pieces that are too long go
-    on to the separators after. The order key grows by one place for each level. What no separator cuts is cut by words.
+    """(id, ord, chunk): pieces at the first separator that the text holds, merged up to ``size`` words, longer ones cut further
+    at the separators after. What no separator cuts is cut by words. Each row is cut for itself, repeated ids too; null text counts as empty.
     """
-    open_rows = docs.select(F.col(id_col).alias("id"), F.array().cast("array<int>").alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.lit(0).alias("level"), F.lit(True).alias("top"))
-    done = None
-    for level, sep in enumerate(separators):
-        here = F.col("level") <= level
-        small = F.size(words(F.col("t"))) <= size
-        settled = open_rows.where(small).select("id", "path", F.col("t").alias("chunk"), "top")
-        big = open_rows.where(~small)
-        cut = big.where(here & F.contains(F.col("t"), F.lit(sep)))
-        kept = big.where(~(here & F.contains(F.col("t"), F.lit(sep))))
-        pieces = F.split(F.col("t"), sep.replace(".", "\\."), -1)
-        state = F.struct(F.array().cast("array<struct<c:string,deep:boolean>>").alias("out"), F.lit("").alias("cur"))
-
-        glue = F.lit(sep)
-
-        def fold(s: Column, p: Column) -> Column:
-            joined = F.when(s["cur"] != "", F.concat(s["cur"], glue, p)).otherwise(p)  # noqa: B023
-            fits = F.size(words(joined)) <= size
-            alone = F.size(words(p)) <= size
-            flushed = F.when(s["cur"] != "", F.concat(s["out"], F.array(F.struct(s["cur"].alias("c"), F.lit(False).alias("deep"))))).otherwise(s["out"])
-            deeper = F.concat(flushed, F.array(F.struct(p.alias("c"), F.lit(True).alias("deep"))))
-            return F.struct(
-                F.when(fits, s["out"]).when(alone, flushed).otherwise(deeper).alias("out"),
-                F.when(fits, joined).when(alone, p).otherwise(F.lit("")).alias("cur"),
-            )
-
-        folded = F.aggregate(pieces, state, fold, lambda s: F.when(s["cur"] != "", F.concat(s["out"], F.array(F.struct(s["cur"].alias("c"), F.lit(False).alias("deep"))))).otherwise(s["out"]))
-        parts = cut.select("id", "path", F.posexplode(folded).alias("i", "x")).select("id", F.concat("path", F.array("i")).alias("path"), "x.c", "x.deep")
-        found = parts.where(~F.col("deep")).select("id", "path", F.col("c").alias("chunk"), F.lit(False).alias("top"))
-        done = settled.unionByName(found) if done is None else done.unionByName(settled).unionByName(found)
-        deep = parts.where("deep").select("id", "path", F.col("c").alias("t"), F.lit(level + 1).alias("level"), F.lit(False).alias("top"))
-        open_rows = kept.unionByName(deep)
-    last = open_rows.select("id", "path", F.posexplode(fixed(F.col("t"), size, overlap)).alias("i", "chunk"), "top").select("id", F.concat("path", F.array("i")).alias("path"), "chunk", "top")
-    chunks = done.unionByName(last).where(F.col("top") | (F.trim(F.regexp_replace("chunk", "\\s+", " ")) != ""))
-    listed = chunks.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("path", "chunk"))).alias("xs"))
-    return listed.select("id", F.posexplode("xs").alias("ord", "x")).select(F.col("id").alias(id_col), F.col("ord").cast("bigint").alias("ord"), F.col("x.chunk").alias("chunk"))
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([cut_recursive(t, size, overlap, separators) for t in texts])
+
+    chunks = cut(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.select(F.col(id_col), F.posexplode(chunks).alias("ord", "chunk")).select(id_col, F.col("ord").cast("bigint").alias("ord"), "chunk")
+
+
+def cut_recursive(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+    """The chunks of one text. A stack holds what is left of it: spans that are settled, and spans to be cut from some separator on."""
+    if len(text.split()) <= size:
+        return [text]
+    out = []
+    left: list[tuple[str, int | None]] = [(text, 0)]
+    while left:
+        span, level = left.pop()
+        if level is None:
+            out.append(span)
+            continue
+        level = next((i for i in range(level, len(separators)) if separators[i] in span), None)
+        if level is None:
+            out += windows(span.split(), size, overlap)
+        else:
+            left += [(x, level + 1 if long else None) for x, long in reversed(_merged(span, separators[level], size)) if x.strip()]
+    return out
+
+
+def windows(words: list[str], size: int, overlap: int) -> list[str]:
+    """What :func:`fixed` makes of a long text's words."""
+    starts = range(0, len(words), max(1, size - overlap))
+    return [" ".join(words[a : a + size]) for a in starts if a in (0, *starts[:-1]) or len(words) - a >= overlap]
+
+
+def _merged(text: str, sep: str, size: int) -> list[tuple[str, bool]]:
+    """Spans between separators, neighbours merged up to ``size`` words, and whether a span alone is longer."""
+    out = []
+    a = b = n = at = 0  # the open span and its words; where the next part begins
+    for part in text.split(sep):
+        end, k = at + len(part), len(part.split())
+        if a == b:
+            both = k
+        elif sep[-1].isspace():
+            both = n + k + (text[b - 1].isspace() and not sep.isspace())  # what stands in the separator is a word of its own after a blank
+        else:
+            both = len(text[a:end].split())
+        if both <= size:
+            a, b, n = (at if a == b else a), end, both
+        else:
+            out += [(text[a:b], False)] * (a < b)
+            a, b, n = at, end, k
+            if k > size:
+                out.append((part, True))
+                a, n = end, 0
+        at = end + len(sep)
+    return out + [(text[a:b], False)] * (a < b)
 
 
 def apply(docs: DataFrame, chunks: Column, id_col: str = "doc_id") -> DataFrame:

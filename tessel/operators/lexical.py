@@ -7,11 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.functions.text import tokenize
+from tessel.functions.text import tokenize, words
+from tessel.sources.io import cut
 
 K1, B = 1.2, 0.75
 #: Query terms that are broadcast to the scan of the documents at most; more are joined by shuffle.
 BROADCAST_TERMS = 1_000_000
+#: Short phrases that are broadcast at once.
+PHRASE_BLOCK = 4096
 
 
 @dataclass(frozen=True)
@@ -51,14 +54,15 @@ def matches(queries: DataFrame, docs: DataFrame, qid_col: str = "qid", query_col
     """
     asked = queries.select(F.col(qid_col).alias("qid"), F.explode(tokenize(F.col(query_col))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
     wanted = asked.select("term").distinct()
-    if wanted.count() <= BROADCAST_TERMS:
+    few = wanted.count() <= BROADCAST_TERMS
+    if few:
         wanted, asked = F.broadcast(wanted), F.broadcast(asked)
     tokens = _tokens(docs, id_col, text_col).withColumn("dl", F.size("tokens").cast("bigint"))
     corpus = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     found = tokens.select("id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
     tf = found.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    return tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(corpus))  # one row
+    return tf.join(F.broadcast(df) if few else df, "term").join(asked, "term").crossJoin(F.broadcast(corpus))  # one row
 
 
 def score(matched: DataFrame, k1=K1, b=B) -> DataFrame:
@@ -79,3 +83,40 @@ def top(scored: DataFrame, k: int, keys: tuple[str, ...] = ("qid",), id_col: str
 def search(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = K1, b: float = B, **columns: str) -> DataFrame:
     """qid, id, score, rank of the best ``k`` documents of each query; documents without a matching term are absent."""
     return top(score(matches(queries, docs, **columns), k1, b), k)
+
+
+def _trigrams(text):
+    """Hashes of three consecutive words."""
+
+    def of(w):
+        rest = F.zip_with(F.slice(w, 2, F.size(w)), F.slice(w, 3, F.size(w)), lambda b, c: F.struct(b.alias("b"), c.alias("c")))
+        every = F.zip_with(w, rest, lambda a, x: F.xxhash64(a, x["b"], x["c"]))
+        return F.slice(every, 1, F.greatest(F.lit(0), F.size(w) - 2))
+
+    return F.element_at(F.transform(F.array(words(text)), of), 1)
+
+
+def containing(phrases: DataFrame, docs: DataFrame) -> DataFrame:
+    """``phrases`` (qid, phrase, ..) joined with the documents (id, text) whose text contains the phrase.
+
+    A text that contains a phrase has the words inside it, those at its ends aside. The least hash of three of them in a row
+    finds candidates, whose texts are then searched. Phrases of fewer than five words have no such words and are searched for
+    in every text, in blocks that are broadcast. Documents without an id are in no result.
+    """
+    keyed = cut(phrases.withColumn("_w", words("phrase")).withColumn("_inner", F.array_join(F.slice("_w", 2, F.greatest(F.lit(0), F.size("_w") - 2)), " ")).withColumn("_key", F.array_min(_trigrams(F.col("_inner")))).drop("_w", "_inner"))
+    anchors = keyed.where(F.col("_key").isNotNull()).select("_key", "qid")
+    few = anchors.count() <= BROADCAST_TERMS
+    places = docs.select("id", F.explode(F.array_distinct(_trigrams(F.col("text")))).alias("_key"))
+    found = cut(places.join(F.broadcast(anchors) if few else anchors, "_key").select("id", "qid").distinct())
+    if found.count() <= BROADCAST_TERMS:
+        found = F.broadcast(found)
+    out = docs.join(found, "id").join(F.broadcast(keyed) if few else keyed, "qid").where(F.contains("text", F.col("phrase")))
+    names = [*phrases.columns, *docs.columns]
+    out = out.select(*names)
+    short = keyed.where(F.col("_key").isNull()).drop("_key")
+    n = short.count()
+    blocks = -(-n // PHRASE_BLOCK)
+    for i in range(blocks):
+        own = short.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i) if blocks > 1 else short
+        out = out.unionByName(docs.where(F.col("id").isNotNull()).join(F.broadcast(own), F.contains("text", F.col("phrase"))).select(*names))
+    return out

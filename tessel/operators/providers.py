@@ -103,50 +103,84 @@ class RuleGenerator:
         return json.dumps({"triples": [{"subject": a, "relation": b, "object": c} for a, b, c in zip(words[::3], words[1::3], words[2::3], strict=False)]})
 
 
-def call(rows: DataFrame, provider: Callable, inputs: list[str], output: str, kind: str) -> DataFrame:
-    """``rows`` with the column ``output`` of type ``kind``, computed in batches from ``inputs``."""
+def attempt(provider: Callable, values: list, retries: int) -> tuple[list, list[str | None]]:
+    """The provider's results and, where it failed ``retries`` times more, None and the error: for the batch, then for each value alone."""
+    for _ in range(retries + 1):
+        try:
+            found = list(provider(values))
+            if len(found) != len(values):
+                raise ValueError(f"{len(found)} results for {len(values)} inputs")
+            return found, [None] * len(found)
+        except Exception as e:
+            why = f"{type(e).__name__}: {e}"
+    if len(values) == 1:
+        return [None], [why]
+    each = [attempt(provider, [v], retries) for v in values]
+    return [r[0][0] for r in each], [r[1][0] for r in each]
+
+
+def call(rows: DataFrame, provider: Callable, inputs: list[str], output: str, kind: str, retries: int | None = None, error: str = "_error") -> DataFrame:
+    """``rows`` with the column ``output`` of type ``kind``, computed in batches from ``inputs``.
+
+    With ``retries``, a call that fails is tried again, then value by value; rows that still fail have a null ``output`` and say
+    why in the added column ``error``. Without, a failure ends the task, which Spark tries again.
+    """
     types = {"string": pa.string(), "double": pa.float64(), "array<double>": pa.list_(pa.float64()), "array<array<double>>": pa.list_(pa.list_(pa.float64()))}
     at = [rows.columns.index(c) for c in inputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in at]
-            values = provider(columns[0] if len(columns) == 1 else list(zip(*columns, strict=True)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, types[kind])], names=[*batch.schema.names, output])
+            asked = columns[0] if len(columns) == 1 else list(zip(*columns, strict=True))
+            if retries is None:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(provider(asked), types[kind])], names=[*batch.schema.names, output])
+            elif asked:
+                values, errors = attempt(provider, asked, retries)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, types[kind]), pa.array(errors, pa.string())], names=[*batch.schema.names, output, error])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{fields}, `{output}` {kind}")
+    return rows.mapInArrow(run, f"{fields}, `{output}` {kind}" + (f", `{error}` string" if retries is not None else ""))
 
 
-def embed(texts: DataFrame, text_col: str, provider: Callable, model: str = "hash", store: KeyedStore | None = None, prefix: str = "") -> DataFrame:
-    """``texts`` with a column v. Each distinct text (with its prefix, which is part of the key) is embedded once; known keys come from the store."""
-    keyed = texts.withColumn("_t", F.concat(F.lit(prefix), F.coalesce(F.col(text_col), F.lit("")))).withColumn("key", content_key(model, F.col("_t")))
-    distinct = keyed.select("key", "_t").groupBy("key").agg(F.first("_t").alias("_t"))
-    todo = store.missing(distinct) if store else distinct
-    made = call(todo, provider, ["_t"], "value", "array<double>").select("key", "value")
+def _answered(keyed: DataFrame, made: DataFrame, store: KeyedStore | None, output: str) -> DataFrame:
+    """``keyed`` (with _key) and what was made for each key, from the store if there is one; what failed is null and is not stored."""
     if store:
-        store.append(made)
+        store.append(made.where(F.col("value").isNotNull()))
         made = store.read()
-    return keyed.join(made, "key").withColumnRenamed("value", "v").drop("key", "_t")
+    return keyed.join(made.select(F.col("key").alias("_key"), F.col("value").alias(output)), "_key", "left").drop("_key")
 
 
-def generate(rows: DataFrame, prompt: Column, provider: Generator, output: str = "reply", model: str = "rule", store: KeyedStore | None = None) -> DataFrame:
-    """``rows`` with the model's reply to ``prompt``; each distinct prompt is sent once, known ones are read from the store."""
-    keyed = rows.withColumn("_p", prompt).withColumn("key", content_key(model, F.col("_p")))
-    distinct = keyed.groupBy("key").agg(F.first("_p").alias("_p"))
-    todo = store.missing(distinct) if store else distinct
-    made = call(todo, provider, ["_p"], "value", "string").select("key", "value")
-    if store:
-        store.append(made)
-        made = store.read()
-    return keyed.join(made, "key").withColumnRenamed("value", output).drop("key", "_p")
+def _todo(keyed: DataFrame, store: KeyedStore | None, *columns: str) -> DataFrame:
+    """key and ``columns`` of each distinct key that the store does not have."""
+    distinct = keyed.groupBy(F.col("_key").alias("key")).agg(*[F.first(c).alias(c) for c in columns])
+    return store.missing(distinct) if store else distinct
+
+
+def embed(texts: DataFrame, text_col: str, provider: Callable, model: str = "hash", store: KeyedStore | None = None, prefix: str = "", retries: int | None = None) -> DataFrame:
+    """``texts`` with a column v. Each distinct text (with its prefix, which is part of the key) is embedded once; known keys come from the store.
+
+    With ``retries``, texts that cannot be embedded have a null v and are asked for again next time.
+    """
+    keyed = texts.withColumn("_t", F.concat(F.lit(prefix), F.coalesce(F.col(text_col), F.lit("")))).withColumn("_key", content_key(model, F.col("_t")))
+    made = call(_todo(keyed, store, "_t"), provider, ["_t"], "value", "array<double>", retries)
+    return _answered(keyed.drop("_t"), made.select("key", "value"), store, "v")
 
 
-def rewrites(queries: DataFrame, provider: Generator) -> DataFrame:
-    """(qid, variant, question): the model's rewrites, blanks left out; a query without one keeps its own text."""
-    replied = generate(queries, F.col("question"), provider)
+def generate(rows: DataFrame, prompt: Column, provider: Generator, output: str = "reply", model: str = "rule", store: KeyedStore | None = None, retries: int | None = None) -> DataFrame:
+    """``rows`` with the model's reply to ``prompt``; each distinct prompt is sent once, known ones are read from the store.
+
+    With ``retries``, prompts that get no reply have a null one, which every operator here reads as its default.
+    """
+    keyed = rows.withColumn("_p", prompt).withColumn("_key", content_key(model, F.col("_p")))
+    made = call(_todo(keyed, store, "_p"), provider, ["_p"], "value", "string", retries)
+    return _answered(keyed.drop("_p"), made.select("key", "value"), store, output)
+
+
+def rewrites(queries: DataFrame, provider: Generator, least: int = 1, retries: int | None = None) -> DataFrame:
+    """(qid, variant, question): the model's rewrites, blanks left out; a query with fewer than ``least``, or whose call failed, keeps its own text."""
+    replied = generate(queries, F.col("question"), provider, retries=retries)
     found = F.filter(F.coalesce(F.from_json("reply", "queries array<string>")["queries"], F.array().cast("array<string>")), lambda q: F.trim(q) != "")
-    rows = replied.withColumn("_q", F.when(F.size(found) > 0, found).otherwise(F.array("question")))
+    rows = replied.withColumn("_q", F.when(F.size(found) >= least, found).otherwise(F.array("question")))
     return rows.select("qid", F.posexplode("_q").alias("variant", "question")).withColumn("variant", F.col("variant").cast("bigint"))
 
 
@@ -185,15 +219,9 @@ def verify_claims(rows: DataFrame, provider: Generator) -> DataFrame:
 
 def rerank(candidates: DataFrame, scorer: Callable, question: str = "question", text: str = "text", store: KeyedStore | None = None) -> DataFrame:
     """Candidates (qid, id, ..) with the scorer's ``score`` of each pair; pairs met before come from the store."""
-    key = F.substring(F.sha2(F.concat(F.col(question), F.lit("\0"), F.col(text)), 256), 1, 32)
-    keyed = candidates.withColumn("key", key)
-    distinct = keyed.groupBy("key").agg(F.first(question).alias("_q"), F.first(text).alias("_d"))
-    todo = store.missing(distinct) if store else distinct
-    made = call(todo, scorer, ["_q", "_d"], "value", "double").select("key", "value")
-    if store:
-        store.append(made)
-        made = store.read()
-    return keyed.join(made, "key").drop("key").withColumn("score", F.round("value", 6)).drop("value")
+    keyed = candidates.withColumn("_key", F.substring(F.sha2(F.concat(F.col(question), F.lit("\0"), F.col(text)), 256), 1, 32))
+    made = call(_todo(keyed, store, question, text), scorer, [question, text], "value", "double").select("key", "value")
+    return _answered(keyed, made, store, "_value").withColumn("score", F.round("_value", 6)).drop("_value")
 
 
 def yes_probability(no: Column, yes: Column) -> Column:

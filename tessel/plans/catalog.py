@@ -23,7 +23,10 @@ ORACLES: dict[str, str] = {}
 
 #: The two rankings that fusion, evaluation and statistics work on, by BM25's k1 and b.
 RUNS = {"first": (1.2, 0.75), "second": (0.4, 0.1)}
-DEPTH = 20
+DEPTH = 100
+#: Depth of the second reranking and of the rank correlation.
+RERANK_DEPTH = 50
+RESAMPLES = stats.RESAMPLES
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -64,9 +67,9 @@ def asked(s: SparkSession, d: str) -> DataFrame:
 
 def qrels(s: SparkSession, d: str) -> DataFrame:
     """qid, id, grade by containment of the passages, a stated query set, in every document."""
-    passages = asked(s, d).select("qid", "question", F.expr("substr(question, 21, 60)").alias("middle"))
-    both = in_blocks(passages, lambda p: docs(s, d).select(F.col("doc_id").alias("id"), "text").join(p, F.contains("text", F.col("middle"))))
-    return both.select("qid", "id", F.when(F.contains("text", F.col("question")), 2).otherwise(1).alias("grade"))
+    passages = asked(s, d).select("qid", "question", F.expr("substr(question, 21, 60)").alias("phrase"))
+    held = lexical.containing(passages, docs(s, d).select(F.col("doc_id").alias("id"), "text"))
+    return held.select("qid", "id", F.when(F.contains("text", F.col("question")), 2).otherwise(1).alias("grade"))
 
 
 def ranking(s: SparkSession, d: str, run: str = "first", k: int = DEPTH) -> DataFrame:
@@ -141,6 +144,14 @@ left join (select qid, sum(grade / log2(r + 1)) as ideal from (select qid, grade
 
 
 JUDGED_SQL = "select distinct qid from qrels"
+#: Half of the queries are for training, by a hash of their id.
+TRAIN_SQL = "md5(qid::varchar) < '8'"
+
+
+def for_training() -> Column:
+    return F.md5(F.col("qid").cast("string")) < "8"
+
+
 SCORES_SQL = f"with {RUNS_SQL}, {QRELS_SQL}, scores as materialized ({sql_metrics('runs', f'select run, qid from ({JUDGED_SQL}), (select distinct run from runs)', 'run, qid')})"
 
 
@@ -199,14 +210,14 @@ def src_evalset(s: SparkSession, d: str) -> DataFrame:
     return io.evaluation_set(s, path)
 
 
-@query("src_lines")
+@query("src_lines", "select (row_number() over (order by item_id, i) - 1)::varchar as id, trim(xs[i]) as text from (select item_id, string_split(text, chr(10)) as xs from benchmark), unnest(generate_series(1, len(xs))) as g(i) where trim(xs[i]) <> ''")
 def src_lines(s: SparkSession, d: str) -> DataFrame:
     path = io.scratch_dir(s)
     asked(s, d).orderBy("qid").coalesce(1).select(F.col("question")).write.text(path)
     return io.lines(s, path)
 
 
-@query("src_lines_raw")
+@query("src_lines_raw", "select (row_number() over (order by item_id, i) - 1)::varchar as id, xs[i] as text from (select item_id, string_split(text, chr(10)) as xs from benchmark), unnest(generate_series(1, len(xs))) as g(i)")
 def src_lines_raw(s: SparkSession, d: str) -> DataFrame:
     path = io.scratch_dir(s)
     asked(s, d).orderBy("qid").coalesce(1).select(F.col("question")).write.text(path)
@@ -218,14 +229,25 @@ def src_parquet(s: SparkSession, d: str) -> DataFrame:
     return docs(s, d).groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query("sink_scores", f"{SCORES_SQL} select 'm' as model, run as stage, qid, ndcg_10 from scores")
+@query(
+    "sink_scores",
+    f"{SCORES_SQL}, best as (select run, qid, string_agg(id::varchar, ',' order by rank) as top10 from runs where rank <= 10 group by run, qid) "
+    f"select 'm' as model, s.run as stage, 'bm25' || case when {TRAIN_SQL.replace('qid', 's.qid')} then ' [train]' else '' end as config, s.qid, ndcg_10, case when {TRAIN_SQL.replace('qid', 's.qid')} then null else top10 end as top10 from scores s left join best b on s.run = b.run and s.qid = b.qid",
+)
 def sink_scores(s: SparkSession, d: str) -> DataFrame:
+    """Scores by model and stage. Training queries have configs of their own; only test queries keep their best ten."""
     path = io.scratch_dir(s)
-    rows = run_scores(s, d).select(F.lit("m").alias("model"), F.col("run").alias("stage"), "qid", "ndcg_10")
-    rows = io.cut(rows)
+    queries, rel = judged(s, d)
+    every = io.cut(runs(s, d))
+    ranked = F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"].cast("string"))
+    best = every.where("rank <= 10").groupBy("run", "qid").agg(F.array_join(ranked, ",").alias("top10"))
+    parts = [evaluate.per_query(queries, every.where(F.col("run") == r), rel).withColumn("run", F.lit(r)) for r in RUNS]
+    rows = parts[0].unionByName(parts[1]).join(best, ["run", "qid"], "left")
+    config = F.when(for_training(), F.concat(F.lit("bm25"), F.lit(stats.TRAIN))).otherwise("bm25")
+    rows = io.cut(rows.select(F.lit("m").alias("model"), F.col("run").alias("stage"), config.alias("config"), "qid", "ndcg_10", F.when(~for_training(), F.col("top10")).alias("top10")))
     io.write_scores(rows, path)
     io.write_scores(rows.where("stage = 'first'"), path)  # replaces its own partition only
-    return s.read.parquet(path).select(F.col("model").cast("string"), F.col("stage").cast("string"), "qid", "ndcg_10")
+    return s.read.parquet(path).select(F.col("model").cast("string"), F.col("stage").cast("string"), "config", "qid", "ndcg_10", "top10")
 
 
 @query("sink_results_json", f"{SCORES_SQL} select run, round(avg(ndcg_10), 6) as ndcg_10, round(avg(mrr), 6) as mrr from scores group by run")
@@ -243,8 +265,11 @@ def sink_report_md(s: SparkSession, d: str) -> DataFrame:
 
 @query("model_filter", "select vec_id % 3 as model, count(*) as n from embeddings where vec_id % 3 in (0, 2) group by 1")
 def model_filter(s: SparkSession, d: str) -> DataFrame:
-    models = vectors(s, d).withColumn("model", F.col("id") % 3)
-    return models.where(F.col("model").isin(0, 2)).groupBy("model").agg(F.count("*").alias("n"))
+    """An index of several models, a folder for each; only the folders asked for are read."""
+    path = io.scratch_dir(s)
+    vectors(s, d).withColumn("model", F.col("id") % 3).write.partitionBy("model").parquet(path)
+    stored = s.read.schema("id bigint, v array<float>, label bigint, model bigint").parquet(path)
+    return stored.where(F.col("model").isin(0, 2)).groupBy("model").agg(F.count("*").alias("n"))
 
 
 @query("cache_npz", "select count(*) as entries, count(distinct text) as texts from (select distinct text from documents)")
@@ -265,9 +290,14 @@ def checkpoint(s: SparkSession, d: str) -> DataFrame:
     return store.read()
 
 
-@query("graph_persist", "select count(*) as triples from supplier")
+@query("graph_persist")
 def graph_persist(s: SparkSession, d: str) -> DataFrame:
-    return io.cut(triples(s, d).where("rel = 'supplier in'")).agg(F.count("*").alias("triples"))
+    """Triples, communities and their summaries, each written and read back."""
+    kept = io.cut(triples(s, d))
+    members = io.cut(regions(s, d))
+    facts = graph.community_facts(kept.withColumn("ord", F.col("doc_id")), members)
+    told = io.cut(graph.community_summaries(facts, members, providers.RuleGenerator("blurb")))
+    return kept.agg(F.count("*").alias("triples")).crossJoin(members.agg(F.count("*").alias("members"))).crossJoin(told.agg(F.count("*").alias("summaries")))  # one row each
 
 
 @query("token_index_persist", "select vec_id as id, 8::bigint as tokens, round(list_sum(list_transform(embedding, lambda x: x::double)), 6) as total from embeddings")
@@ -390,7 +420,14 @@ def chunk_fixed(s: SparkSession, d: str) -> DataFrame:
     return chunking.apply(docs(s, d), chunking.fixed(F.col("text"))).select("doc_id", "ord", F.md5("chunk").alias("digest"))
 
 
-@query("chunk_sentence")
+PACKED_SQL = f"""x as (select doc_id, text, s, list_transform(generate_series(1, len(s)), lambda i: list_sum(list_transform(list_slice(s, 1, i), lambda y: len({sql_words("y")})))) as upto
+  from (select doc_id, text, {SENTENCES_SQL} as s from documents)),
+packed as (select doc_id, 0::bigint as ord, 1::bigint as a, greatest(1, len(list_filter(upto, lambda v: v <= 200)))::bigint as e from x where len(s) > 0
+  union all select p.doc_id, ord + 1, e, greatest(e + 1, len(list_filter(upto, lambda v: v <= 200 + case when e > 1 then upto[e - 1] else 0 end)))::bigint from packed p join x on x.doc_id = p.doc_id where e < len(upto)),
+chunks as (select doc_id, ord, array_to_string(list_slice(s, a, e), ' ') as chunk from packed join x using (doc_id) union all select doc_id, 0, text from x where len(s) = 0)"""
+
+
+@query("chunk_sentence", f"with recursive {PACKED_SQL} select * from chunks")
 def chunk_sentence(s: SparkSession, d: str) -> DataFrame:
     return chunking.apply(docs(s, d), chunking.sentence(F.col("text"))).select("doc_id", "ord", "chunk")
 
@@ -405,7 +442,7 @@ def chunk_apply(s: SparkSession, d: str) -> DataFrame:
     return chunking.apply(docs(s, d), chunking.fixed(F.col("text"))).select("chunk_id", "doc_id", "source", F.length("chunk").cast("bigint").alias("chars"))
 
 
-@query("chunk_long_only")
+@query("chunk_long_only", f"with recursive {PACKED_SQL} select c.* from chunks c join documents d using (doc_id) where len({sql_words('d.text')}) * 1.3::double > 512")
 def chunk_long_only(s: SparkSession, d: str) -> DataFrame:
     long = docs(s, d).where(T.estimated_tokens(F.size(T.words(F.col("text")))) > T.WINDOW_TOKENS)
     return chunking.apply(long, chunking.sentence(F.col("text"))).select("doc_id", "ord", "chunk")
@@ -447,25 +484,36 @@ def bm25_params(s: SparkSession, d: str) -> DataFrame:
 
 GRID = [(k1, b) for k1 in (0.6, 0.9, 1.2, 1.5, 2.0) for b in (0.25, 0.5, 0.75, 1.0)]
 GRID_SQL = "grid as (select * from (values " + ", ".join(f"({i}, {k1}::double, {b}::double)" for i, (k1, b) in enumerate(GRID)) + ") as g(param, k1, b))"
-
-
-@query(
-    "bm25_grid",
+GRID_SCORES_SQL = (
     f"with {BM25_SQL}, {QRELS_SQL}, {GRID_SQL}, gr as materialized ({sql_top(sql_scores('k1', 'b', '(select * from hit, grid where qid in (select qid from qrels))', 'param, qid, id'), 10, 'param, qid')}), "
-    f"m as ({sql_metrics('gr', f'select param, qid from grid, ({JUDGED_SQL})', 'param, qid')}) select param::bigint as param, k1, b, round(avg(ndcg_10), 6) as ndcg_10 from m join grid using (param) group by all",
+    f"m as ({sql_metrics('gr', f'select param, qid from grid, ({JUDGED_SQL})', 'param, qid')})"
 )
-def bm25_grid(s: SparkSession, d: str) -> DataFrame:
+
+
+def grid_scores(s: SparkSession, d: str) -> DataFrame:
+    """param, k1, b, qid, ndcg_10: every setting on every judged query. One aggregation sums all settings."""
     queries, rel = judged(s, d)
+    matched = lexical.matches(queries, docs(s, d))
+
+    def gain(k1: float, b: float) -> Column:
+        return F.col("times") * lexical._idf() * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+
+    sums = matched.groupBy("qid", "id").agg(*[F.round(F.sum(gain(k1, b)), 6).alias(f"s{i}") for i, (k1, b) in enumerate(GRID)])
+    listed = F.array(*[F.struct(F.lit(i).cast("bigint").alias("param"), F.col(f"s{i}").alias("score")) for i in range(len(GRID))])
+    scored = sums.select("qid", "id", F.explode(listed).alias("x")).select("x.param", "qid", "id", "x.score")
+    best = lexical.top(scored, 10, ("param", "qid"))
     grid = s.createDataFrame([(i, k1, b) for i, (k1, b) in enumerate(GRID)], "param bigint, k1 double, b double")
-    matched = lexical.matches(queries, docs(s, d)).crossJoin(F.broadcast(grid))  # twenty settings
-    scored = matched.withColumn("gain", F.col("times") * lexical._idf() * F.col("tf") * (F.col("k1") + 1) / (F.col("tf") + F.col("k1") * (1 - F.col("b") + F.col("b") * F.col("dl") / F.col("avgdl"))))
-    best = lexical.top(scored.groupBy("param", "qid", "id").agg(F.round(F.sum("gain"), 6).alias("score")), 10, ("param", "qid"))
     keyed = best.select(F.concat_ws(":", "param", "qid").alias("qid"), "id", "rank")
     every = grid.crossJoin(F.broadcast(queries.select("qid")))  # settings by judged queries
-    names = every.select(F.concat_ws(":", "param", "qid").alias("qid"), "param", "k1", "b")
+    names = every.select(F.concat_ws(":", "param", "qid").alias("key"), "param", "k1", "b", "qid")
     rel_keyed = rel.crossJoin(F.broadcast(grid.select("param"))).select(F.concat_ws(":", "param", "qid").alias("qid"), "id", "grade")
-    scores = evaluate.per_query(names, keyed, rel_keyed)
-    return scores.join(names, "qid").groupBy("param", "k1", "b").agg(F.round(F.avg("ndcg_10"), 6).alias("ndcg_10"))
+    scores = evaluate.per_query(names.select(F.col("key").alias("qid")), keyed, rel_keyed)
+    return scores.select(F.col("qid").alias("key"), "ndcg_10").join(names, "key").select("param", "k1", "b", "qid", "ndcg_10")
+
+
+@query("bm25_grid", f"{GRID_SCORES_SQL} select param::bigint as param, k1, b, round(avg(ndcg_10), 6) as ndcg_10 from m join grid using (param) group by all")
+def bm25_grid(s: SparkSession, d: str) -> DataFrame:
+    return grid_scores(s, d).groupBy("param", "k1", "b").agg(F.round(F.avg("ndcg_10"), 6).alias("ndcg_10"))
 
 
 @query("bm25_index_stats", f"with {BM25_SQL} select n::bigint as docs, (select count(*) from df) as terms, round(avgdl, 6) as avgdl from corp")
@@ -576,9 +624,10 @@ def token_pairs(s: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
 
 @query("maxsim", f"{SIM_SQL} {sql_top('select * from sim', 10)}")
 def maxsim(s: SparkSession, d: str) -> DataFrame:
-    """The stated query set against every vector, read as eight token vectors."""
-    every = in_blocks(vector_queries(s, d).select("qid"), lambda q: vectors(s, d).select("id").crossJoin(q))
-    return lexical.top(token_pairs(s, d, every), 10)
+    """The stated query set, in blocks that are broadcast, against every vector, read as eight token vectors."""
+    asked_for = vector_queries(s, d).select("qid", dense.token_vectors(F.col("v"), 8).alias("q"))
+    every = in_blocks(asked_for, lambda q: vectors(s, d).select("id", dense.token_vectors(F.col("v"), 8).alias("t")).crossJoin(q))
+    return lexical.top(every.select("qid", "id", F.round(dense.maxsim(F.col("q"), F.col("t")), 6).alias("score")), 10)
 
 
 @query("maxsim_rerank", f"{SIM_SQL} {sql_top(f'select sim.* from sim join ({sql_dense(100)}) c using (qid, id)', 10).replace('as score from (select * from embeddings where', 'as score from (select * from embeddings where')}")
@@ -592,7 +641,7 @@ def token_encode(s: SparkSession, d: str) -> DataFrame:
     return providers.call(asked(s, d), providers.TokenEncoder(8), ["question"], "tokens", "array<array<double>>")
 
 
-@query("token_index_add")
+@query("token_index_add", f"with {FIXED_SQL} select doc_id, len(regexp_extract_all(lower(chunk), '[a-z0-9]+'))::bigint as n from fixed")
 def token_index_add(s: SparkSession, d: str) -> DataFrame:
     chunks = chunking.apply(docs(s, d), chunking.fixed(F.col("text"))).select("doc_id", "chunk")
     return providers.call(chunks, providers.TokenEncoder(8), ["chunk"], "tokens", "array<array<double>>").select("doc_id", F.size("tokens").cast("bigint").alias("n"))
@@ -653,9 +702,9 @@ def reranked(s: SparkSession, d: str, first: DataFrame) -> DataFrame:
     return providers.rerank(pairs, providers.OverlapScorer()).select("qid", "id", "score")
 
 
-@query("interpolate_rerank", f"with {FIRST_SQL}, {OVERLAP_SQL}, runs as (select 'first' as run, qid, id, score from first union all select 'second', qid, id, score from re) {sql_weighted(0.4, 0.6)}")
+@query("interpolate_rerank", f"with {FIRST_SQL}, {OVERLAP_SQL}, runs as (select 'first' as run, qid, id, score from first where rank <= {RERANK_DEPTH} union all select 'second', re.qid, re.id, re.score from re join first using (qid, id) where rank <= {RERANK_DEPTH}) {sql_weighted(0.4, 0.6)}")
 def interpolate_rerank(s: SparkSession, d: str) -> DataFrame:
-    first = io.cut(ranking(s, d))
+    first = io.cut(ranking(s, d, k=RERANK_DEPTH))
     both = first.select("qid", "id", "score").withColumn("run", F.lit("first")).unionByName(reranked(s, d, first).withColumn("run", F.lit("second")))
     return fusion.weighted_fusion(both, {"first": 0.4, "second": 0.6})
 
@@ -698,9 +747,10 @@ def rerank(s: SparkSession, d: str) -> DataFrame:
 
 @query("rerank_cached", f"with {FIRST_SQL}, {OVERLAP_SQL} {sql_top('select * from re', 10)}")
 def rerank_cached(s: SparkSession, d: str) -> DataFrame:
+    """The pairs of the best five are scored first; the second pass asks for the others only."""
     store = io.KeyedStore(s, io.scratch_dir(s), "double")
-    pairs = io.cut(ranking(s, d).select("qid", "id").join(asked(s, d), "qid").join(docs(s, d).select(F.col("doc_id").alias("id"), "text"), "id"))
-    providers.rerank(pairs.where("rank <= 5") if "rank" in pairs.columns else pairs.where("id % 2 = 0"), providers.OverlapScorer(), store=store).count()
+    pairs = io.cut(ranking(s, d).select("qid", "id", "rank").join(asked(s, d), "qid").join(docs(s, d).select(F.col("doc_id").alias("id"), "text"), "id"))
+    providers.rerank(pairs.where("rank <= 5"), providers.OverlapScorer(), store=store).count()
     return lexical.top(providers.rerank(pairs, providers.OverlapScorer(), store=store).select("qid", "id", "score"), 10)
 
 
@@ -710,7 +760,7 @@ def rerank_llm_yesno(s: SparkSession, d: str) -> DataFrame:
     return vectors(s, d).select("id", F.round(providers.yes_probability(no, yes), 6).alias("p"))
 
 
-SWEEP = (5, 10, 20)
+SWEEP = (10, 20, 50, 100)
 
 
 @query("rerank_depth_sweep", f"with {FIRST_SQL}, {OVERLAP_SQL} " + " union all ".join(f"select {k}::bigint as depth, * from ({sql_top(f'select re.* from re join (select qid, id from first where rank <= {k}) using (qid, id)', 10)})" for k in SWEEP))
@@ -721,12 +771,12 @@ def rerank_depth_sweep(s: SparkSession, d: str) -> DataFrame:
     return lexical.top(scored.join(F.broadcast(depths), F.col("was") <= F.col("depth")).select("depth", "qid", "id", "score"), 10, ("depth", "qid"))
 
 
-@query("candidate_recall", f"with {FIRST_SQL}, {QRELS_SQL} select depth::bigint as depth, round(avg(r), 6) as recall from (select depth, q.qid, count(f.id) / count(*)::double as r from (select unnest([5, 10, 20]) as depth), qrels q left join first f on f.qid = q.qid and f.id = q.id and f.rank <= depth group by all) group by depth")
+@query("candidate_recall", f"with {FIRST_SQL}, {QRELS_SQL} select depth::bigint as depth, round(avg(r), 6) as recall from (select depth, q.qid, count(f.id) / count(*)::double as r from (select unnest([10, 20, 50, 100]) as depth), qrels q left join first f on f.qid = q.qid and f.id = q.id and f.rank <= depth group by all) group by depth")
 def candidate_recall(s: SparkSession, d: str) -> DataFrame:
     queries, rel = judged(s, d)
     scores = evaluate.per_query(queries, ranking(s, d), rel, ks=SWEEP, ndcg_ks=(10,))
     found = scores.agg(*[F.round(F.avg(f"recall_{k}"), 6).alias(str(k)) for k in SWEEP])
-    return found.select(F.expr("stack(3, " + ", ".join(f"{k}L, `{k}`" for k in SWEEP) + ") as (depth, recall)"))
+    return found.select(F.expr(f"stack({len(SWEEP)}, " + ", ".join(f"{k}L, `{k}`" for k in SWEEP) + ") as (depth, recall)"))
 
 
 @query("rerank_spread", f"{SCORES_SQL} select round(max(m) - min(m), 6) as spread from (select run, round(avg(ndcg_10), 6) as m from scores group by run)")
@@ -735,9 +785,9 @@ def rerank_spread(s: SparkSession, d: str) -> DataFrame:
     return each.agg(F.round(F.max("m") - F.min("m"), 6).alias("spread"))
 
 
-@query("spearman", f"with {FIRST_SQL}, {OVERLAP_SQL}, r as (select f.qid, row_number() over (partition by f.qid order by f.score desc, f.id) as a, row_number() over (partition by f.qid order by re.score desc, f.id) as b from first f join re using (qid, id)) select qid, count(*) as n, round(corr(a, b), 6) + 0.0::double as rho from r group by qid having count(*) >= 5")
+@query("spearman", f"with {FIRST_SQL}, {OVERLAP_SQL}, r as (select f.qid, row_number() over (partition by f.qid order by f.score desc, f.id) as a, row_number() over (partition by f.qid order by re.score desc, f.id) as b from first f join re using (qid, id) where f.rank <= 50) select qid, count(*) as n, round(corr(a, b), 6) + 0.0::double as rho from r group by qid having count(*) >= 5")
 def spearman(s: SparkSession, d: str) -> DataFrame:
-    first = io.cut(ranking(s, d))
+    first = io.cut(ranking(s, d, k=RERANK_DEPTH))
     both = reranked(s, d, first).withColumnRenamed("score", "other").join(first, ["qid", "id"])
     a, b = (F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(c), "id")).cast("double") for c in ("score", "other"))
     ranks = both.select("qid", a.alias("a"), b.alias("b"))
@@ -790,10 +840,22 @@ def hit_at_k(s: SparkSession, d: str) -> DataFrame:
     return scores.agg(F.count("*").alias("n"), *[F.round(F.avg(f"recall_{k}"), 6).alias(f"hit_{k}") for k in (1, 3, 5)], F.round(F.avg("mrr"), 6).alias("mrr_5"))
 
 
-@query("leakage_gap", f"{SCORES_SQL} select round(avg(recall_1) filter (where run = 'first') - avg(recall_1) filter (where run = 'second'), 6) as gap from scores")
+FORMS_SQL = f"""{VARIANTS_SQL}, {QRELS_SQL}, scores as materialized ({sql_metrics('runs', f"select run, qid from ({JUDGED_SQL}), (select unnest(['original', '0']) as run)", 'run, qid')})"""
+
+
+def form_scores(s: SparkSession, d: str) -> DataFrame:
+    """run, qid and every metric of two forms of each judged query: as it is (original), and its first half (0)."""
+    queries, rel = judged(s, d)
+    hits = io.cut(variants(s, d).where("run in ('original', '0')"))
+    parts = [evaluate.per_query(queries, hits.where(F.col("run") == r), rel).withColumn("run", F.lit(r)) for r in ("original", "0")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("leakage_gap", f"{FORMS_SQL} select round(avg(recall_1) filter (where run = 'original') - avg(recall_1) filter (where run = '0'), 6) as gap from scores")
 def leakage_gap(s: SparkSession, d: str) -> DataFrame:
+    """How much better direct questions do than rewritten ones."""
     mean = lambda r: F.avg(F.when(F.col("run") == r, F.col("recall_1")))
-    return run_scores(s, d).agg(F.round(mean("first") - mean("second"), 6).alias("gap"))
+    return form_scores(s, d).agg(F.round(mean("original") - mean("0"), 6).alias("gap"))
 
 
 @query("record", f"{SCORES_SQL} select run as config, qid, ndcg_10, recall_10, mrr from scores")
@@ -801,15 +863,19 @@ def record(s: SparkSession, d: str) -> DataFrame:
     return run_scores(s, d).select(F.col("run").alias("config"), "qid", "ndcg_10", "recall_10", "mrr")
 
 
-@query("tune", ORACLES["bm25_grid"].replace("select param::bigint as param, k1, b, round(avg(ndcg_10), 6) as ndcg_10 from m join grid using (param) group by all", "select * from (select param::bigint as param, k1, b, round(avg(ndcg_10), 6) as ndcg_10 from m join grid using (param) group by all) order by ndcg_10 desc, param limit 1"))
+@query("tune", f"{GRID_SCORES_SQL} select param::bigint as param, k1, b, round(avg(ndcg_10) filter (where {TRAIN_SQL}), 6) as train_ndcg_10, round(avg(ndcg_10) filter (where not {TRAIN_SQL}), 6) as test_ndcg_10 from m join grid using (param) group by all order by train_ndcg_10 desc nulls last, param limit 1")
 def tune(s: SparkSession, d: str) -> DataFrame:
-    return bm25_grid(s, d).orderBy(F.desc("ndcg_10"), "param").limit(1)
+    """The setting that is best on training queries, and what it gives on the others."""
+    mean = lambda on: F.round(F.avg(F.when(on, F.col("ndcg_10"))), 6)
+    each = grid_scores(s, d).groupBy("param", "k1", "b").agg(mean(for_training()).alias("train_ndcg_10"), mean(~for_training()).alias("test_ndcg_10"))
+    return each.orderBy(F.desc_nulls_last("train_ndcg_10"), "param").limit(1)
 
 
-@query("format_select", f"{SCORES_SQL} select arg_max(run, (m, run = 'first')) as format from (select run, round(avg(ndcg_10), 6) as m from scores group by run)")
+@query("format_select", f"{FORMS_SQL} select run as format, m as train_ndcg_10 from (select run, round(avg(ndcg_10) filter (where {TRAIN_SQL}), 6) as m from scores group by run) order by m desc nulls last, run = 'original' desc limit 1")
 def format_select(s: SparkSession, d: str) -> DataFrame:
-    each = run_scores(s, d).groupBy("run").agg(F.round(F.avg("ndcg_10"), 6).alias("m"))
-    return each.agg(F.max_by("run", F.struct("m", (F.col("run") == "first").alias("x"))).alias("format"))
+    """The query format that is best on training queries; the plain one of equals."""
+    each = form_scores(s, d).groupBy("run").agg(F.round(F.avg(F.when(for_training(), F.col("ndcg_10"))), 6).alias("m"))
+    return each.orderBy(F.desc_nulls_last("m"), F.desc(F.col("run") == "original")).limit(1).select(F.col("run").alias("format"), F.col("m").alias("train_ndcg_10"))
 
 
 @query(
@@ -860,21 +926,48 @@ CONFIGS_SQL = f"""{SCORES_SQL}, cfg as materialized (
   select run || ' ' || metric as config, qid, value from (unpivot (select run, qid, recall_1, recall_5, mrr, ndcg_10 from scores) on recall_1, recall_5, mrr, ndcg_10 into name metric value value)),
 diff as materialized (select t.config, t.qid, t.value as a, c.value as b, t.value - c.value as d from cfg t join cfg c on t.qid = c.qid and c.config = 'first ndcg_10' where t.config <> 'first ndcg_10')"""
 SUMMARY_SQL = "select config, count(*) as n, round(avg(a), 6) as treatment_mean, round(avg(b), 6) as control_mean, round(avg(d), 6) as delta, count(*) filter (where d > 1e-9) as better, count(*) filter (where d < -1e-9) as worse from diff group by config"
-BOOT_SQL = """idx as (select config, row_number() over (partition by config order by qid) - 1 as i, d from diff),
+BOOT_SQL = f"""idx as (select config, row_number() over (partition by config order by qid) - 1 as i, d from diff),
 size as (select config, count(*) as n, avg(d) as mean from idx group by config),
-slot as (select i.config, i.i, n, mean, r from idx i join size using (config), unnest(generate_series(0, 199)) as g(r)),
-draw as (select config, r, mean, ('0x' || substr(md5(config || ':' || r || ':' || i), 1, 12))::bigint % n as pick from slot),
-means as (select d.config, r, round(avg(x.d), 9) as m, any_value(mean) as mean from draw d join idx x on x.config = d.config and x.i = d.pick group by d.config, r),
-boot as materialized (select config, round(quantile_cont(m, 0.025), 6) as lo, round(quantile_cont(m, 0.975), 6) as hi, round(greatest(avg((abs(m - mean) >= abs(mean) - 1e-9)::int), 1 / 200.0::double), 6) as p from means group by config)"""
+draw as (select n, r, ('0x' || substr(md5(r || ':' || i), 1, 12))::bigint % n as pick from (select distinct n from size), unnest(generate_series(0, {RESAMPLES - 1})) as g(r), unnest(generate_series(0, n - 1)) as h(i)),
+means as (select s.config, r, round(sum(x.d) / s.n, 9) as m, any_value(mean) as mean from size s join draw w on w.n = s.n join idx x on x.config = s.config and x.i = w.pick group by s.config, s.n, r),
+boot as materialized (select config, round(quantile_cont(m, 0.025), 6) as lo, round(quantile_cont(m, 0.975), 6) as hi, round(greatest(avg((abs(m - mean) >= abs(mean) - 1e-9)::int), 1 / {RESAMPLES}.0::double), 6) as p from means group by config)"""
 HOLM_SQL = "select *, round(max(least(1.0, (count(*) over () - rn + 1) * p)) over (order by p, config rows unbounded preceding), 6) as p_holm from (select *, row_number() over (order by p, config) as rn from boot)"
 
 
-def config_diffs(s: SparkSession, d: str) -> DataFrame:
+def config_scores(s: SparkSession, d: str) -> DataFrame:
     names = ("recall_1", "recall_5", "mrr", "ndcg_10")
     wide = run_scores(s, d).select("run", "qid", *names)
     long = wide.select("run", "qid", F.expr("stack(4, " + ", ".join(f"'{n}', {n}" for n in names) + ") as (metric, value)"))
-    scores = io.cut(long.select(F.concat_ws(" ", "run", "metric").alias("config"), "qid", "value"))
-    return io.cut(stats.differences(scores, "first ndcg_10"))
+    return io.cut(long.select(F.concat_ws(" ", "run", "metric").alias("config"), "qid", "value"))
+
+
+def config_diffs(s: SparkSession, d: str) -> DataFrame:
+    return io.cut(stats.differences(config_scores(s, d), "first ndcg_10"))
+
+
+def stage_diffs(s: SparkSession, d: str) -> DataFrame:
+    """Differences of a whole stage: besides the configs, a copy of the control, the training rows and a config of fewer queries."""
+    every = config_scores(s, d)
+    control = every.where("config = 'first ndcg_10'")
+    more = control.withColumn("config", F.lit("first again"))
+    train = every.where("config = 'second ndcg_10'").where(for_training()).withColumn("config", F.lit("second ndcg_10" + stats.TRAIN))
+    fewer = control.where(~for_training()).withColumn("config", F.lit("first in part"))
+    stage = every.unionByName(more).unionByName(train).unionByName(fewer)
+    return io.cut(stats.differences(stats.comparable(stage, "first ndcg_10"), "first ndcg_10"))
+
+
+def stage_rows(diffs: DataFrame) -> DataFrame:
+    rows = stats.summarize(diffs).where("better + worse > 0").select("config", "n", "delta").join(stats.hashed_bootstrap(diffs), "config")
+    return stats.holm(rows).withColumn("verdict", stats.verdict(F.col("p_holm"), F.col("lo"), F.col("hi")))
+
+
+IDENTICAL_SQL = "select 'first again' as config union all select distinct config from diff group by config having count(*) filter (where abs(d) > 1e-9) = 0"
+
+
+@query("identical_configs", f"{CONFIGS_SQL} {IDENTICAL_SQL}")
+def identical_configs(s: SparkSession, d: str) -> DataFrame:
+    """Configs of a stage that never differ from its control."""
+    return stats.summarize(stage_diffs(s, d)).where("better + worse = 0").select("config")
 
 
 @query("paired_diff", f"{CONFIGS_SQL} {SUMMARY_SQL}")
@@ -905,10 +998,9 @@ COMPARED_SQL = COMPARED_SQL.replace(f"sums as ({SUMMARY_SQL}), ", "").replace(f"
 
 @query("stage_comparisons", f"{COMPARED_SQL} select * from compared")
 def stage_comparisons(s: SparkSession, d: str) -> DataFrame:
-    """Every config against the control; configs that never differ from it are left out before the correction."""
-    diffs = config_diffs(s, d)
-    rows = stats.summarize(diffs).where("better + worse > 0").select("config", "n", "delta").join(stats.hashed_bootstrap(diffs), "config")
-    return stats.holm(rows).withColumn("verdict", stats.verdict(F.col("p_holm"), F.col("lo"), F.col("hi")))
+    """Every config against the control, corrected together. Left out before that: training rows, configs of another number of
+    queries, and configs that never differ from the control."""
+    return stage_rows(stage_diffs(s, d))
 
 
 @query("verdict", f"{COMPARED_SQL} select verdict, count(*) as n from compared group by verdict")
@@ -921,9 +1013,20 @@ def bm25_subview(s: SparkSession, d: str) -> DataFrame:
     return stage_comparisons(s, d).where(F.startswith("config", F.lit("second"))).select("config", "delta")
 
 
-@query("headline_grid", f"{SCORES_SQL} select qid % 5 as bucket, round(avg(ndcg_10) filter (where run = 'first'), 6) as first, round(avg(ndcg_10) filter (where run = 'second'), 6) as second from scores group by 1")
+@query(
+    "headline_grid",
+    f"""{COMPARED_SQL}, cells as (select config, case verdict when 'worse' then '▼' when 'better' then '▲' else '·' end || printf(' %+.3f', delta) as cell from compared union all select config, '= 0' from ({IDENTICAL_SQL}))
+select metric, coalesce(max(cell) filter (where config = 'first ' || metric), 'n/a') as first, coalesce(max(cell) filter (where config = 'second ' || metric), 'n/a') as second from (select unnest(['recall_1', 'recall_5', 'mrr', 'ndcg_10']) as metric) left join cells on config in ('first ' || metric, 'second ' || metric) group by metric""",
+)
 def headline_grid(s: SparkSession, d: str) -> DataFrame:
-    return run_scores(s, d).groupBy((F.col("qid") % 5).alias("bucket")).pivot("run", list(RUNS)).agg(F.round(F.avg("ndcg_10"), 6))
+    """Marks of each metric and run against the control: up, down or no difference found, ``= 0`` for equal and ``n/a`` for what was not compared."""
+    diffs = stage_diffs(s, d)
+    mark = F.when(F.col("verdict") == "worse", "▼").when(F.col("verdict") == "better", "▲").otherwise("·")
+    cells = stage_rows(diffs).select("config", F.concat(mark, F.format_string(" %+.3f", "delta")).alias("cell"))
+    same = stats.summarize(diffs).where("better + worse = 0").select("config", F.lit("= 0").alias("cell"))
+    every = s.createDataFrame([(m, r, f"{r} {m}") for m in ("recall_1", "recall_5", "mrr", "ndcg_10") for r in RUNS], "metric string, run string, config string")
+    rows = every.join(F.broadcast(cells.unionByName(same)), "config", "left")  # one row for each config
+    return rows.groupBy("metric").pivot("run", list(RUNS)).agg(F.coalesce(F.max("cell"), F.lit("n/a")))
 
 
 @query("percentile_nearest", f"with w as (select len({sql_words('text')})::bigint as n from documents), o as (select n, row_number() over (order by n) as r, count(*) over () as c from w) select " + ", ".join(f"max(n) filter (where r = floor(c * {p}::double)) as {name}" for name, p in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))) + " from o")
@@ -944,9 +1047,18 @@ def truncation_report(s: SparkSession, d: str) -> DataFrame:
     return t.agg(F.count("*").alias("docs"), F.count(F.when(F.col("t1") > T.WINDOW_TOKENS, 1)).alias("over_v1"), F.count(F.when(F.col("t2") > T.WINDOW_TOKENS, 1)).alias("over_v2"), lost.alias("lost"), F.round(100 * lost / F.sum("t1"), 6).alias("lost_percent"))
 
 
-@query("latency_stats", "select event_type, round(median(value), 6) as median, count(*) as n from events group by event_type")
+@query(
+    "latency_stats",
+    """with o as (select event_type, value, row_number() over (partition by event_type order by value) as r, count(*) over (partition by event_type) as n from events where value is not null),
+places as (select distinct event_type, n, greatest(1, least(n - 1, (n + 1) * 9 // 10)) as j from o),
+cut as (select event_type, (max(value) filter (where r = j) * (10 - ((any_value(n) + 1) * 9 - any_value(j) * 10)) + coalesce(max(value) filter (where r = j + 1), max(value) filter (where r = j)) * ((any_value(n) + 1) * 9 - any_value(j) * 10)) / 10 as p90 from o join places using (event_type, n) group by event_type)
+select event_type, round(median(value), 6) as median, round(any_value(p90), 6) as p90, count(*) as n from events join cut using (event_type) group by event_type""",
+)
 def latency_stats(s: SparkSession, d: str) -> DataFrame:
-    return io.table(s, d, "events").groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"), F.count("*").alias("n"))
+    events = io.table(s, d, "events")
+    ninth = stats.exclusive_decile(events, "value", 9, "p90", ("event_type",))
+    each = events.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"), F.count("*").alias("n"))
+    return each.join(ninth, "event_type").select("event_type", "median", F.round("p90", 6).alias("p90"), "n")
 
 
 @query("subsample", "select doc_id from documents order by md5('0:' || doc_id), doc_id limit 100")
@@ -963,14 +1075,28 @@ def subset_docs(s: SparkSession, d: str) -> DataFrame:
 # -- model-backed operators --------------------------------------------------------------------------------------------
 
 
-@query("multi_query")
+PROMPT_WORDS = sql_words("text")
+REWRITES_SQL = f"""rw as (select item_id as qid, text, list_filter([array_to_string(list_slice(w, 1, greatest(1, len(w) // 2)), ' '), array_to_string(list_slice(w, greatest(1, len(w) // 2) + 1, len(w)), ' ')], lambda q: trim(q) <> '') as qs
+  from (select item_id, text, {PROMPT_WORDS} as w from benchmark))"""
+
+
+def sql_rewrites(least: int) -> str:
+    return f"select qid, (i - 1)::bigint as variant, case when len(qs) >= {least} then qs[i] else text end as question from rw, unnest(generate_series(1, case when len(qs) >= {least} then len(qs) else 1 end)) as g(i)"
+
+
+def sql_set(column: str) -> str:
+    return f"list_distinct(regexp_extract_all(lower({column}), '[a-z0-9]+'))"
+
+
+@query("multi_query", f"with {REWRITES_SQL} {sql_rewrites(1)}")
 def multi_query(s: SparkSession, d: str) -> DataFrame:
     return providers.rewrites(asked(s, d), providers.RuleGenerator("rewrite"))
 
 
-@query("decompose")
+@query("decompose", f"with {REWRITES_SQL} {sql_rewrites(2)}")
 def decompose(s: SparkSession, d: str) -> DataFrame:
-    return providers.rewrites(asked(s, d), providers.RuleGenerator("rewrite")).where("variant >= 0")
+    """Two parts or more take the place of a question; with fewer it stays whole."""
+    return providers.rewrites(asked(s, d), providers.RuleGenerator("rewrite"), least=2)
 
 
 @query("hyde", "select item_id as qid, 0::bigint as variant, text || ' ' || text as question from benchmark")
@@ -978,7 +1104,7 @@ def hyde(s: SparkSession, d: str) -> DataFrame:
     return providers.rewrites(asked(s, d), providers.RuleGenerator("passage"))
 
 
-@query("step_back")
+@query("step_back", f"select qid, 0::bigint as variant, string_agg(w, ' ' order by r) as question from (select qid, w, row_number() over (partition by qid order by len(w) desc, w) as r from (select item_id as qid, unnest({PROMPT_WORDS}) as w from benchmark)) where r <= 5 group by qid")
 def step_back(s: SparkSession, d: str) -> DataFrame:
     return providers.rewrites(asked(s, d), providers.RuleGenerator("step_back"))
 
@@ -992,13 +1118,20 @@ def llm_call(s: SparkSession, d: str) -> DataFrame:
     return replied.select("qid", "reply")
 
 
-@query("contextualize")
+@query(
+    "contextualize",
+    f"with {FIXED_SQL}, p as (select f.doc_id, ord, chunk, array_to_string(list_slice({sql_words("substr(d.text, 1, 6000) || chr(10) || '---' || chr(10) || chunk")}, 1, 8), ' ') as blurb from fixed f join documents d using (doc_id)) "
+    "select doc_id, ord, blurb, case when trim(blurb) = '' then chunk else blurb || chr(10) || chr(10) || chunk end as chunk from p",
+)
 def contextualize(s: SparkSession, d: str) -> DataFrame:
     chunks = chunking.apply(docs(s, d), chunking.fixed(F.col("text"))).select("doc_id", "ord", "chunk")
     return providers.contextualize(chunks, docs(s, d), providers.RuleGenerator("blurb"))
 
 
-@query("answer")
+NEAR_SQL = f"with {FIRST_SQL}, near as (select qid, array_to_string(list('[' || rank || '] ' || text order by rank), chr(10) || chr(10)) as context, min_by(text, rank) as best from first join documents on id = doc_id where rank <= 3 group by qid), answered as (select item_id as qid, context, case when context is null then '{T.NO_ANSWER}' else split_part(best, chr(10), 1) end as answer from benchmark left join near on qid = item_id)"
+
+
+@query("answer", f"{NEAR_SQL} select qid, answer, contains(answer, '{T.NO_ANSWER}') as abstained from answered")
 def answer(s: SparkSession, d: str) -> DataFrame:
     near = ranking(s, d, k=3).join(docs(s, d).select(F.col("doc_id").alias("id"), "text"), "id").select("qid", "rank", "text")
     return providers.answer(asked(s, d), near, providers.RuleGenerator("answer")).select("qid", "answer", "abstained")
@@ -1010,7 +1143,7 @@ def naive_rag(s: SparkSession, d: str) -> DataFrame:
     return near.select("qid", F.md5(F.concat("question", F.lit("\n"), T.bulleted_context(F.col("xs")["text"]))).alias("prompt"))
 
 
-@query("check_faithfulness")
+@query("check_faithfulness", f"{NEAR_SQL} select qid, 2 * len(list_intersect({sql_set('answer')}, {sql_set('context')})) >= len({sql_set('answer')}) and len({sql_set('answer')}) > 0 as supported from answered where not contains(answer, '{T.NO_ANSWER}')")
 def check_faithfulness(s: SparkSession, d: str) -> DataFrame:
     near = ranking(s, d, k=3).join(docs(s, d).select(F.col("doc_id").alias("id"), "text"), "id").select("qid", "rank", "text")
     answered = providers.answer(asked(s, d), near, providers.RuleGenerator("answer")).where(~F.col("abstained"))
@@ -1033,7 +1166,12 @@ def three_conditions(s: SparkSession, d: str) -> DataFrame:
     return three(s, d)
 
 
-@query("verify_claim")
+@query(
+    "verify_claim",
+    f"""{CONDITIONS_SQL}, ev as (select qid, condition, array_to_string(list(coalesce(d.text, '') order by rank), chr(10)) as evidence from cond left join documents d on id = doc_id group by qid, condition),
+sh as (select condition, a, b, case when len(list_distinct(list_concat(a, b))) = 0 then 0 else len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::double end as share from (select condition, {sql_set('text')} as a, {sql_set('evidence')} as b from ev join benchmark on item_id = qid))
+select condition, count(*) as n, count(*) filter (where share > 0.05) as supported, count(*) filter (where share <= 0.05 and share >= 0.01) as refuted, count(*) filter (where share < 0.01) as not_enough, count(*) filter (where share > 0.05) as cited from sh group by condition""",
+)
 def verify_claim(s: SparkSession, d: str) -> DataFrame:
     rows = three(s, d).join(docs(s, d).select(F.col("doc_id").alias("id"), "text"), "id", "left").join(asked(s, d), "qid")
     evidence = rows.groupBy("qid", "condition", F.col("question").alias("claim")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "\n").alias("evidence"))
@@ -1046,15 +1184,21 @@ def should_retrieve(s: SparkSession, d: str) -> DataFrame:
     return replied.select("qid", F.coalesce(F.from_json("reply", "yes boolean")["yes"], F.lit(True)).alias("retrieve"))
 
 
-@query("grade_relevance")
+@query("grade_relevance", f"with {FIRST_SQL} select qid, id, 2 * len(list_intersect(a, b)) >= len(a) and len(a) > 0 as relevant from (select qid, id, {sql_set('q.text')} as a, {sql_set('substr(d.text, 1, 1500)')} as b from first join benchmark q on item_id = qid join documents d on doc_id = id where rank <= 5)")
 def grade_relevance(s: SparkSession, d: str) -> DataFrame:
     near = ranking(s, d, k=5).join(docs(s, d).select(F.col("doc_id").alias("id"), "text"), "id").join(asked(s, d), "qid")
     return providers.judge(near, "question", "text", providers.RuleGenerator("yes_no")).select("qid", "id", "relevant")
 
 
-@query("next_hop")
+@query(
+    "next_hop",
+    f"""{CONTEXT_SQL}, t as (select item_id as qid, regexp_extract_all(lower(text || chr(10) || chr(10) || coalesce(array_to_string(bullets, chr(10)), '')), '[a-z0-9]+') as t from benchmark left join ctx on qid = item_id)
+select qid, len(t) > 400 as have_enough, array_to_string(list_slice(t, greatest(1, len(t) - 5), len(t)), ' ') as next_query from t""",
+)
 def next_hop(s: SparkSession, d: str) -> DataFrame:
-    replied = providers.generate(asked(s, d), F.col("question"), providers.RuleGenerator("next"))
+    """Whether the evidence so far is enough, and what to search next, from the question and its evidence."""
+    near = asked(s, d).join(contexts(s, d), "qid", "left").withColumn("evidence", F.coalesce(T.bulleted_context(F.col("xs")["text"]), F.lit("")))
+    replied = providers.generate(near, F.concat("question", F.lit("\n\n"), "evidence"), providers.RuleGenerator("next"))
     read = F.from_json("reply", "have_enough boolean, next_query string")
     return replied.select("qid", F.coalesce(read["have_enough"], F.lit(True)).alias("have_enough"), read["next_query"].alias("next_query"))
 
@@ -1096,7 +1240,7 @@ def multi_hop(s: SparkSession, d: str) -> DataFrame:
     return trace
 
 
-@query("generate_evalset")
+@query("generate_evalset", f"with {REWRITES_SQL} select qid, case variant when 0 then 'direct' else 'paraphrased' end as variant, question from ({sql_rewrites(1)})")
 def generate_evalset(s: SparkSession, d: str) -> DataFrame:
     made = providers.rewrites(asked(s, d), providers.RuleGenerator("rewrite"))
     return made.select("qid", F.when(F.col("variant") == 0, "direct").otherwise("paraphrased").alias("variant"), "question")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessel.functions.text import with_title
@@ -39,12 +39,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
-    """(id, text) of one small text file: stripped lines that are not blank, numbered from 0 after that; ``raw`` keeps every line as it is."""
-    rows = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    """(id, text) of a text file: stripped lines that are not blank, numbered from 0 after that; ``raw`` keeps every line as it is.
+
+    Each part of the file numbers its own lines after those of the parts before it.
+    """
+    rows = spark.read.text(path)
     if not raw:
-        rows = rows.withColumn("value", F.trim("value")).where("value <> ''")
-    listed = rows.agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("xs"))  # one file of facts
-    return listed.select(F.posexplode("xs").alias("id", "x")).select(F.col("id").cast("string").alias("id"), F.col("x.value").alias("text"))
+        rows = rows.select(F.trim("value").alias("value")).where("value <> ''")
+    rows = cut(rows.select("value", F.monotonically_increasing_id().alias("at"), F.spark_partition_id().alias("part")))
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = sizes.select("part", before.alias("first"))  # a row for each part
+    own = F.row_number().over(Window.partitionBy("part").orderBy("at")) - 1
+    return rows.withColumn("own", own).join(firsts, "part").select((F.col("first") + F.col("own")).cast("string").alias("id"), F.col("value").alias("text"))
 
 
 def corpus_jsonl(spark: SparkSession, path: str, titles: bool = True) -> DataFrame:
@@ -87,13 +94,9 @@ class KeyedStore:
         self.spark, self.path, self.schema = spark, path, f"key string, value {value_type}, at bigint"
 
     def read(self) -> DataFrame:
-        try:
-            rows = self.spark.read.schema(self.schema).parquet(self.path)
-            rows.limit(0).collect()
-        except Exception as e:  # nothing is stored yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            rows = self.spark.createDataFrame([], self.schema)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        stored = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        rows = self.spark.read.schema(self.schema).parquet(self.path) if stored else self.spark.createDataFrame([], self.schema)
         return rows.groupBy("key").agg(F.max_by("value", "at").alias("value"))
 
     def missing(self, wanted: DataFrame) -> DataFrame:

@@ -1,3 +1,7 @@
+import re
+
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessel.functions import text as T
@@ -19,59 +23,69 @@ def test_short_text_stays_as_it_is(spark):
     assert _chunks(spark, "a  b c", lambda c: chunking.fixed(c, 10, 2)) == ["a  b c"]
 
 
-def test_fixed_windows_overlap_and_cover(spark):
-    words = [f"w{i}" for i in range(100)]
-    got = [c.split() for c in _chunks(spark, " ".join(words), lambda c: chunking.fixed(c, 40, 10))]
-    assert all(len(c) <= 40 for c in got) and got[0][-10:] == got[1][:10]
-    assert set(sum(got, [])) == set(words)
-
-
-def test_last_sliver_is_dropped(spark):
-    got = _chunks(spark, " ".join(f"w{i}" for i in range(65)), lambda c: chunking.fixed(c, 40, 10))
-    assert len(got) == 2 and got[-1].endswith("w64")
-
-
-def test_sentences_are_packed_and_carried(spark):
-    four = "One two three. Four five six. Seven eight nine. Ten eleven twelve."
-    assert _chunks(spark, four, lambda c: chunking.sentence(c, 6, 0)) == ["One two three. Four five six.", "Seven eight nine. Ten eleven twelve."]
-    three = "One two three. Four five six. Seven eight nine."
-    assert _chunks(spark, three, lambda c: chunking.sentence(c, 6, 1))[1].startswith("Four five six.")
-
-
-def _plain_recursive(text, size, separators=chunking.SEPARATORS):
-    """A direct statement of the rule, to compare with."""
-    if len(text.split()) <= size:
-        return [text]
-    for i, sep in enumerate(separators):
-        if sep in text:
-            out, open_ = [], ""
-            for piece in text.split(sep):
-                both = open_ + sep + piece if open_ else piece
-                if len(both.split()) <= size:
-                    open_ = both
-                    continue
-                out += [open_] if open_ else []
-                fits = len(piece.split()) <= size
-                open_ = piece if fits else ""
-                out += [] if open_ else _plain_recursive(piece, size, separators[i + 1 :])
-            return [c for c in [*out, open_] if c.strip()]
-    return [text]
-
-
-def test_recursive_prefers_paragraphs_and_equals_the_plain_rule(spark):
-    paragraphs = "\n\n".join(" ".join(f"p{k}w{i}" for i in range(30)) for k in range(3))
-    long = "\n".join(". ".join(" ".join(f"x{a}{b}{c}" for c in range(7 + b)) for b in range(6)) for a in range(4)) + "\n\nshort end"
-    texts = [paragraphs, long, "tiny", ""]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    got = {}
-    for r in chunking.recursive(docs, "doc_id", "text", 40).orderBy("doc_id", "ord").collect():
-        got.setdefault(r["doc_id"], []).append(r["chunk"])
-    assert got[0] == paragraphs.split("\n\n")
-    for i, text in enumerate(texts[:3]):
-        assert got[i] == _plain_recursive(text, 40)
+def test_fixed_windows_by_place(spark):
+    w = [f"n{i}" for i in range(23)]
+    got = _chunks(spark, "  ".join(w), lambda c: chunking.fixed(c, 7, 3))
+    assert got == [" ".join(w[a : a + 7]) for a in (0, 4, 8, 12, 16, 20)]  # the last has three words, as many as overlap
+    assert _chunks(spark, " ".join(w[:22]), lambda c: chunking.fixed(c, 7, 3)) == got[:4] + [" ".join(w[16:22])]
+    assert chunking.windows(w, 7, 3) == got and chunking.windows(w[:22], 7, 3)[-1] == " ".join(w[16:22])
+
+
+def test_sentence_chunks_by_hand(spark):
+    text = "Rain fell. It fell on roofs all night! Did anyone hear? (Nobody did.) Morning came."
+    by = lambda size, overlap: _chunks(spark, text, lambda c: chunking.sentence(c, size, overlap))
+    assert by(5, 0) == ["Rain fell.", "It fell on roofs all night!", "Did anyone hear?", "(Nobody did.) Morning came."]
+    assert by(5, 1)[:3] == ["Rain fell.", "Rain fell. It fell on roofs all night!", "It fell on roofs all night! Did anyone hear?"]
+    assert by(100, 2) == [text] and _chunks(spark, None, lambda c: chunking.sentence(c, 5, 1)) == [None]
+
+
+@given(st.lists(st.integers(1, 9), max_size=25), st.integers(1, 20), st.integers(0, 3))
+def test_packed_sentences_are_as_long_as_they_can_be(lengths, size, overlap):
+    items = [" ".join([f"s{i}"] * n) for i, n in enumerate(lengths)]
+    spans = [sorted({int(w[1:]) for w in c.split()}) for c in chunking.pack_sentences(items, size, overlap)]
+    assert sorted({i for x in spans for i in x}) == list(range(len(items)))
+    for k, x in enumerate(spans):
+        assert x == list(range(x[0], x[-1] + 1))
+        new = x if not k else [i for i in x if i > spans[k - 1][-1]]
+        assert new and (len(new) == 1 or sum(lengths[i] for i in x) <= size)
+        if k:
+            assert x[0] == max(spans[k - 1][0], spans[k - 1][-1] + 1 - overlap)
+        if k + 1 < len(spans):
+            assert sum(lengths[i] for i in [*x, x[-1] + 1]) > size
+
+
+def test_recursive_by_hand():
+    cut = lambda text, size: chunking.cut_recursive(text, size, 1)
+    assert cut("one two", 2) == ["one two"] and cut("", 2) == [""] and cut("   ", 0) == ["   "]
+    assert cut("a b\n\nc\n\nd e f", 3) == ["a b\n\nc", "d e f"]
+    assert cut("a b\nc d\n\ne", 3) == ["a b", "c d", "e"]  # the long paragraph goes on to lines, the short one is not merged into it
+    assert cut("\n\n\n\na b c", 2) == ["a b", "c"]
+    assert cut("p q. r s. t", 4) == ["p q. r s", "t"]
+    assert cut("p . q. r", 3) == ["p . q", "r"]
+    assert cut("p q . r s", 4) == ["p q ", "r s"]  # joined, the dot would be a fifth word
+    assert cut("u\tv\tw\tx", 3) == ["u v w", "w x"]  # no separator at all: windows of words
+
+
+_pieces = st.lists(st.tuples(st.sampled_from(["a", "bb", "c c", "d d d", "", " "]), st.sampled_from(["\n\n", "\n", ". ", " ", "\t"])), max_size=30)
+
+
+@given(_pieces, st.integers(1, 8))
+def test_recursive_keeps_every_word_in_order_and_the_size(pieces, size):
+    text = "".join(a + b for a, b in pieces)
+    chunks = chunking.cut_recursive(text, size, 0)
+    assert re.findall(r"\w+", " ".join(chunks)) == re.findall(r"\w+", text)
+    assert all(len(c.split()) <= size for c in chunks)
+    if len(text.split()) > size:
+        assert all(c.strip() for c in chunks)
+
+
+def test_recursive_cuts_each_row_for_itself(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "c d"), (2, None)], "doc_id int, text string")
+    got = [tuple(r) for r in chunking.recursive(docs, "doc_id", "text", 1).collect()]
+    assert sorted(got) == [(1, 0, "a"), (1, 0, "c"), (1, 1, "b"), (1, 1, "d"), (2, 0, "")]
 
 
 def test_chunk_ids(spark):
-    docs = spark.createDataFrame([("d1", " ".join(["w"] * 100)), ("d2", "short")], "doc_id string, text string")
-    ids = [r["chunk_id"] for r in chunking.apply(docs, chunking.fixed(F.col("text"), 40, 10)).orderBy("chunk_id").collect()]
-    assert ids == ["d1#0", "d1#1", "d1#2", "d1#3", "d2#0"]  # the last window has as many words as the overlap and stays
+    docs = spark.createDataFrame([("x", "k " * 9), ("y", "k")], "doc_id string, text string")
+    got = chunking.apply(docs, chunking.fixed(F.col("text"), 4, 1)).select("chunk_id", "ord").orderBy("chunk_id").collect()
+    assert [tuple(r) for r in got] == [("x#0", 0), ("x#1", 1), ("x#2", 2), ("y#0", 0)]
