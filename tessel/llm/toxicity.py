@@ -3,7 +3,7 @@
 Texts are folded first: case, look-alike letters, digits and signs that stand for letters. Lexicon
 entries are whole words or beginnings of words, weighted by the log-odds of toxic documents in a bounded
 sample of labelled rows. A text's weight over its length gives the score; matches inside an exception
-phrase do not count.
+phrase do not count. Exceptions are learned too: an entry's word and one beside it, held by clean rows only.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ FIT_ROWS = 20_000
 STEMS = range(4, 9)
 #: Least share of toxic groups of copies that hold an entry, least number of them, least share of toxic among its holders.
 MIN_SHARE, MIN_GROUPS, MIN_PURITY = 0.01, 3, 0.9
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "idiot proof")
 #: Look-alike letters of other scripts, and digits that stand for letters.
 LOOK_ALIKES = {"а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ɡ": "g", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ℓ": "l"}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
@@ -52,7 +51,7 @@ class Lexicon:
 
     weights: tuple[tuple[str, float], ...]
     half: float
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
 
     @cached_property
     def automaton(self) -> ahocorasick.Automaton:
@@ -87,6 +86,20 @@ def entries_of(text: str | None) -> set[str]:
     return {f" {w} " for w in words if len(w) >= 3} | {f" {w[:k]}" for w in words for k in STEMS if len(w) > k}
 
 
+def mark_of(words: list[str]) -> int:
+    """Tells holders apart: the least hash of 5-word runs, which copies and most near copies share."""
+    return min((xxhash.xxh3_64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))), default=0) >> 1
+
+
+def phrases_of(words: list[str], entries: frozenset[str]) -> set[str]:
+    """Each word that an entry matches, with the word before it and with the word after it."""
+    found = set()
+    for i, w in enumerate(words):
+        if f" {w} " in entries or any(f" {w[:k]}" in entries for k in STEMS if len(w) > k):
+            found |= {" ".join(words[a : a + 2]) for a in (i - 1, i) if 0 <= a < len(words) - 1}
+    return found
+
+
 def prune(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> tuple[tuple[str, float], ...]:
     """The lexicon from (toxic, clean) holders of each entry, out of ``toxic`` and ``clean`` groups of copies: an entry gives
     way to a longer one that has nearly all of its holders, and a longer one to a kept beginning."""
@@ -112,17 +125,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
 
     Copies of a document count as one holder: holders are told apart by the least hash of their 5-word
     runs. An entry that is a label (others begin with a blank) counts all holders of it. Entries are counted in Spark;
-    the driver receives those that pass the thresholds.
+    the driver receives those that pass the thresholds. Phrases of an entry's word and a neighbour that ``MIN_GROUPS``
+    clean holders have, and no toxic one, are exceptions.
     """
     ids = sample_labels(labels.withColumnRenamed(id_col, "doc_id"), label, remainder(F.col("doc_id"), 3) != 1, fit_rows)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "doc_id").select("text", "y")
+    rows = materialize(rows)  # the bounded sample, read three times
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             entry, sign, y = [], [], []
             for text, label_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = fold(text).split()
-                mark = min((xxhash.xxh3_64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))), default=0) >> 1
+                mark = mark_of(words)
                 own = {"toxic" if label_ > 0.5 else "clean", *entries_of(text)}
                 entry += own
                 sign += [mark] * len(own)
@@ -135,13 +150,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     toxic, clean = totals.get("toxic", 0), totals.get("clean", 0)
     passing = by_entry.where(F.col("entry").startswith(" ") & (F.col("p") >= max(MIN_GROUPS, MIN_SHARE * toxic)) & (F.col("p") >= MIN_PURITY * (F.col("p") + F.col("n")))).collect()
     weights = prune({r["entry"]: (r["p"], r["n"]) for r in passing}, toxic, clean)
-    lexicon = Lexicon(weights, 0.005)
+    entries = frozenset(e for e, _ in weights)
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(p, mark_of(w), y) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in [fold(t).split()] for p in phrases_of(w, entries)]
+            phrase, mark, y = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_pydict({"phrase": pa.array(phrase, pa.string()), "mark": pa.array(mark, pa.int64()), "y": pa.array(y, pa.float64())})
+
+    beside = rows.mapInArrow(around, "phrase string, mark bigint, y double").groupBy("phrase", "mark").agg(F.max("y").alias("y"))
+    spared = beside.groupBy("phrase").agg(F.sum("y").alias("p"), F.count("*").alias("n")).where((F.col("p") == 0) & (F.col("n") >= MIN_GROUPS)).select("phrase")
+    lexicon = Lexicon(weights, 0.005, tuple(sorted(r["phrase"] for r in spared.collect())))
     got = rows.mapInArrow(_densities(lexicon), "y double, density double").toPandas()
     y, d = got["y"].to_numpy() > 0.5, got["density"].to_numpy()
     grid = np.geomspace(0.0005, 0.2, 40)
     wrong = np.array([((d >= 7 / 3 * h) != y).sum() for h in grid])
     least = grid[wrong == wrong.min()] if len(y) else grid
-    return Lexicon(weights, float(least[len(least) // 3]))
+    return Lexicon(weights, float(least[len(least) // 3]), lexicon.exceptions)
 
 
 def _densities(lexicon: Lexicon):
