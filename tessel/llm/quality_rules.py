@@ -10,6 +10,8 @@ operator and its oracle.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,32 @@ CHARACTER_CLASSES: dict[str, dict[str, float]] = {
     "es": {"upper": 0.0120, "symbol": 0.0005, "punct": 0.0230, "space": 0.1617, "wide": 0.0782},
 }
 SYMBOLS = "#*$%&|<>"
-LEXICON = sorted({w for words in COMMON_WORDS.values() for w in words})
+
+
+@dataclass(frozen=True)
+class Profiles:
+    """Reference histograms by language: shares of common words, and of character classes (upper, symbol, punct, space, wide)."""
+
+    words: dict[str, dict[str, float]]
+    classes: dict[str, dict[str, float]]
+
+    @property
+    def lexicon(self) -> list[str]:
+        return sorted({w for words in self.words.values() for w in words})
+
+    def word_counts(self) -> dict[str, str]:
+        """The column that counts each word of the lexicon."""
+        return {w: f"w_{i}" for i, w in enumerate(self.lexicon)}
+
+    def char_distance(self) -> str:
+        return _least(_distance({k: f"c_{k}" for k in ref}, "d_chars", ref) for ref in self.classes.values())
+
+    def word_distance(self) -> str:
+        counts = self.word_counts()
+        return _least(_distance({w: counts[w] for w in ref}, "d_words", ref) for ref in self.words.values())
+
+
+REFERENCE = Profiles(COMMON_WORDS, CHARACTER_CLASSES)
 #: Largest distances that pass, and the least characters and words that a histogram needs for a verdict.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.14, 0.42
 MIN_CHARS, MIN_WORDS = 200, 80
@@ -47,14 +74,10 @@ def _distance(counts: dict[str, str], total: str, reference: dict[str, float]) -
     return f"sqrt(greatest(0.0D, ({' + '.join(terms)}) / 2))"
 
 
-def char_distance_sql() -> str:
-    each = [_distance({k: f"c_{k}" for k in ref}, "d_chars", ref) for ref in CHARACTER_CLASSES.values()]
-    return f"least({', '.join(each)})"
-
-
-def word_distance_sql() -> str:
-    each = [_distance({w: f"w_{w}" for w in ref}, "d_words", ref) for ref in COMMON_WORDS.values()]
-    return f"least({', '.join(each)})"
+def _least(distances) -> str:
+    """SQL for the smallest distance; one profile is enough."""
+    found = list(distances)
+    return f"least({', '.join(found)})" if len(found) > 1 else found[0]
 
 
 KEPT_SQL = f"not base_failed and (n_chars < {MIN_CHARS} or js_chars <= {MAX_CHAR_DISTANCE}) and (n_words < {MIN_WORDS} or js_words <= {MAX_WORD_DISTANCE})"
@@ -72,8 +95,8 @@ def _repeat_words():
     return F.when(F.size("ws") >= 3, F.sort_array(windows)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: base measures, both distances, base_failed and kept.
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", profiles: Profiles = REFERENCE) -> DataFrame:
+    """One row for each row of ``docs``: base measures, both distances from the nearest of ``profiles``, base_failed and kept.
 
     Null text counts as empty: every measure 0, distances 0, base_failed true, kept false. Histograms
     of texts under ``MIN_CHARS`` characters or ``MIN_WORDS`` words give no verdict of their own; they
@@ -85,7 +108,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = base.withColumn("ws", F.regexp_extract_all("t", F.lit(f"([^{SPACE}]+)"), F.lit(1)))
     base = base.withColumn("lines", F.filter(F.split("t", "\n", -1), lambda x: F.regexp_like(x, F.lit(f"[^{SPACE}]"))))
     base = base.withColumn("sorted_windows", _repeat_words())
-    base = base.withColumn("common", F.concat(F.lit(" "), F.array_join(F.filter(F.transform("ws", F.lower), lambda x: x.isin(LEXICON)), "  "), F.lit(" ")))
+    base = base.withColumn("common", F.concat(F.lit(" "), F.array_join(F.filter(F.transform("ws", F.lower), lambda x: x.isin(profiles.lexicon)), "  "), F.lit(" ")))
     s = F.col("sorted_windows")
     same = F.filter(s, lambda x, j: x["h"].eqNullSafe(F.get(s, j - 1)["h"]) | x["h"].eqNullSafe(F.get(s, j + 1)["h"]))
     base = base.withColumn("places", F.sort_array(F.transform(same, lambda x: x["i"])))
@@ -106,11 +129,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         (F.octet_length("t") - F.length("t")).cast("double").alias("c_wide"),
         matches("[A-Z]").cast("double").alias("c_upper"),
         matches("[.,;:!?'\"()-]").cast("double").alias("c_punct"),
-        *[((F.length("common") - F.length(F.replace("common", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).alias(f"w_{w}") for w in LEXICON],
+        *[((F.length("common") - F.length(F.replace("common", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).alias(name) for w, name in profiles.word_counts().items()],
     )
     measured = measured.withColumns({"c_symbol": F.col("n_symbols").cast("double"), "c_space": (F.col("n_chars") - F.col("word_chars")).cast("double"), "d_chars": F.greatest(F.lit(1.0), F.col("n_chars").cast("double")), "d_words": F.greatest(F.lit(1.0), F.col("n_words").cast("double"))})
     measured = measured.withColumn("base_failed", (F.col("n_words") < BASE_MIN_WORDS) | (100 * F.col("n_repeat_words") > BASE_MAX_REPEAT_PERCENT * F.col("n_words")))
-    measured = measured.withColumns({"js_chars": F.round(F.expr(char_distance_sql()), 4), "js_words": F.round(F.expr(word_distance_sql()), 4)})
+    measured = measured.withColumns({"js_chars": F.round(F.expr(profiles.char_distance()), 4), "js_words": F.round(F.expr(profiles.word_distance()), 4)})
     return measured.withColumn("kept", F.expr(KEPT_SQL)).select(*OUT)
 
 
@@ -123,7 +146,7 @@ def oracle() -> str:
         return re.sub(r"(\d)D\b", r"\1::double", sql)
 
     space = f"[^{SPACE}]"
-    counts = ", ".join(f"cast(len(list_filter(lows, lambda x: x = '{w}')) as double) as w_{w}" for w in LEXICON)
+    counts = ", ".join(f"cast(len(list_filter(lows, lambda x: x = '{w}')) as double) as {name}" for w, name in REFERENCE.word_counts().items())
     return f"""
 with base as (
   select doc_id, row_number() over () as rid, coalesce(text, '') as t from documents
@@ -151,6 +174,6 @@ with base as (
     greatest(1.0::double, n_words::double) as d_words, n_words < {BASE_MIN_WORDS} or 100 * n_repeat_words > {BASE_MAX_REPEAT_PERCENT} * n_words as base_failed
   from measured
 ), far as (
-  select *, round({without_suffix(char_distance_sql())}, 4) as js_chars, round({without_suffix(word_distance_sql())}, 4) as js_words from ready
+  select *, round({without_suffix(REFERENCE.char_distance())}, 4) as js_chars, round({without_suffix(REFERENCE.word_distance())}, 4) as js_words from ready
 )
 select {", ".join(OUT[:-1])}, {KEPT_SQL} as kept from far"""
