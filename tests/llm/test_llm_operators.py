@@ -118,6 +118,36 @@ def test_viterbi_reaches_the_best_sum():
         assert value == pytest.approx(_best_path(s, 6.0))
 
 
+def test_languages_equal_a_plain_count(spark):
+    samples = {"en": "the river and the stone of that house with this", "de": "der garten und die strasse ist nicht mit dem", "fr": "la maison et les jardins dans une rue avec"}
+    rows = [(i * 10 + k, " ".join(t.split()[k:] + t.split()[:k]), x) for i, (x, t) in enumerate(samples.items()) for k in range(8)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True))
+    assert model.languages == ("de", "en", "fr")
+    slot = lambda n, four: ((n + four * (1 << 40)) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - language_id.TABLE_BITS
+
+    def grams(word):
+        raw = b"   " + word.encode() + b"       "
+        size = len(word.encode()) + 3
+        return [slot(int.from_bytes(raw[p : p + 3], "big"), 0) for p in range(size)] + [slot(int.from_bytes(raw[p : p + 4], "big"), 1) for p in range(size)]
+
+    counts = {x: collections.Counter() for x in samples}
+    for _, t, x in rows:
+        words = t.split()
+        for k, w in enumerate(words):  # the last 4-grams of a word see three blanks and the next word's first byte
+            after = ("   " + words[k + 1]) if k + 1 < len(words) else "    "
+            raw = b"   " + w.encode() + after.encode()
+            size = len(w.encode()) + 3
+            counts[x].update([slot(int.from_bytes(raw[p : p + 3], "big"), 0) for p in range(size)] + [slot(int.from_bytes(raw[p : p + 4], "big"), 1) for p in range(size)])
+    size = 1 << language_id.TABLE_BITS
+
+    def logs(x, g):
+        return math.log((counts[x][g] + 0.05) / (counts[x].total() + 0.05 * size))
+
+    for w in ("river", "strasse", "jardins", "zzz"):
+        raw = np.array([sum(logs(x, g) for g in grams(w)) for x in model.languages])
+        assert model.score_words([w])[0] == pytest.approx(np.maximum(raw - raw.max(), -language_id.WORD_CAP), abs=1e-3)
+
+
 def _shingles(t):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
@@ -189,6 +219,24 @@ def test_classifier_learns_and_compiles_rules(spark, empty):
     assert quality_classifier.fit(docs, marks.where("quality = 1")).rules == ()
 
 
+def test_classifier_equals_its_rules_read_plainly(docs, local):
+    f = quality_classifier.FEATURES
+    rules = (((("log_words", True, 2.5),), 1.25), ((("distinct", False, 0.9), ("word_length", True, 4.0)), -0.75), ((("wide", True, 0.01),), 0.5), ((("lines", False, 0.0), ("twin", True, 0.02)), -1.5))
+    model = quality_classifier.RuleModel(0.2, rules)
+    got = collections.defaultdict(list)
+    for r in quality_classifier.classify(docs, model).collect():
+        got[r["doc_id"]].append(r)
+    for i, t in local:
+        t = t or ""
+        w = re.split(r"[\x20\x09-\x0D]+", t)
+        chars, n = max(len(t), 1), len(w)
+        share = lambda p, t=t, chars=chars: len(re.findall(p, t)) / chars
+        x = {"log_words": math.log1p(n), "word_length": len(t) / n, "upper": share("[A-Z]"), "digit": share("[0-9]"), "symbol": share(r"[#*$%&|<>@=_{}]"), "punct": share(r"[.,;:?'\"()-]"), "loud": share("!"), "bar": share(r"\|"), "lines": t.count("\n") / n, "distinct": len(set(w)) / n, "twin": sum(a == b for a, b in zip(w, w[1:], strict=False)) / n, "wide": (len(t.encode()) - len(t)) / chars}
+        assert set(x) == set(f)
+        z = 0.2 + sum(v for rule, v in rules if all((x[k] > h) == up for k, up, h in rule))
+        assert any(r["score"] == pytest.approx(1 / (1 + math.exp(-z))) and r["predicted"] == int(1 / (1 + math.exp(-z)) >= 0.3) for r in got[i])
+
+
 def test_sentencepiece_equals_the_library(docs, local, empty):
     path = public_tokenizers.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -214,11 +262,43 @@ def test_toxicity_folds_and_spares(spark, empty):
     ask = [(1, "what a m0r0n you are"), (2, "mоrоn said so"), (3, clean), (4, None), (5, ""), (6, "$tupid thing")]
     got = {r["doc_id"]: r for r in toxicity.score_toxicity(spark.createDataFrame(ask, "doc_id bigint, text string"), lexicon).collect()}
     assert [got[i]["predicted"] for i in range(1, 7)] == [1, 1, 0, 0, 0, 1]
-    spared = toxicity.Lexicon(((" trash ", 5.0),), 0.005)
+    spared = toxicity.Lexicon(((" trash ", 5.0),), 0.005, ("trash can",))
     assert spared.weigh("put it in the trash can now")[1] == 0 and spared.weigh("this is trash")[1] == 1
     assert toxicity.score_toxicity(empty, lexicon).count() == 0
 
 
+def _plain_density(lexicon, text):
+    """Weights of all entries at all places, words of folded text by words."""
+    folded = toxicity.fold(text)
+    spans = [(m.start(), m.start() + len(p)) for p in (toxicity.fold(x) for x in lexicon.exceptions) for m in re.finditer(f"(?={re.escape(p)})", folded)]
+    total = 0.0
+    for entry, weight in lexicon.weights:
+        for m in re.finditer(f"(?={re.escape(entry)})", folded):
+            total += weight * (not any(a <= m.start() and m.start() + len(entry) <= b for a, b in spans))
+    return total / (folded.count(" ") + 19)
+
+
+def test_toxicity_equals_plain_matching(spark, docs, local):
+    lexicon = toxicity.Lexicon(((" ab", 1.5), (" the ", 0.5), (" on", 2.0), (" passage1", 0.25)), 0.01, ("on it", "the a"))
+    got = collections.defaultdict(list)
+    for r in toxicity.score_toxicity(docs, lexicon).collect():
+        got[r["doc_id"]].append(r)
+    assert sum(map(len, got.values())) == len(local)
+    for i, t in local:
+        d = _plain_density(lexicon, t)
+        assert any(r["score"] == pytest.approx(d / (d + 0.01)) and r["predicted"] == int(d / (d + 0.01) >= 0.7) for r in got[i])
+
+
+def test_toxicity_learns_exceptions_from_clean_rows(spark):
+    filler = lambda i: " ".join(f"w{i}x{k}" for k in range(6))
+    rows = [(i, f"{filler(i)} put it in the garbage can {filler(-i)}") for i in range(20)] + [(100 + i, filler(i)) for i in range(300)]
+    rows += [(1000 + i, f"{filler(i)} you garbage {filler(-i)}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    lexicon = toxicity.fit(docs, spark.createDataFrame([(i, int(i >= 1000)) for i, _ in rows], "doc_id bigint, toxic int"))
+    assert {"garbage can", "the garbage"} <= set(lexicon.exceptions) and "you garbage" not in lexicon.exceptions
+    assert lexicon.weigh("in the garbage can now")[1] == 0 < lexicon.weigh("you garbage you")[1]
+
+
 def test_toxicity_counts_groups_of_copies(spark):
     rows = [(i, " ".join(f"w{i}x{k}" for k in range(9))) for i in range(200)]
     rows += [(1000 + i, "you are a stupid moron on this day of ours") for i in range(1500)]  # copies of one text
@@ -468,3 +548,32 @@ def test_filters_keep_columns_and_rows_without_id(docs, empty):
 def test_suffix_dedup_of_short_texts_alone(spark):
     rows = spark.createDataFrame([(1, "short"), (2, "short"), (3, None), (4, "x" * 50), (5, "y" * 49)], "doc_id bigint, text string")
     assert {(r["doc_id"], r["n_removed"]) for r in suffix_dedup.remove_repeats(rows).collect()} == {(i, 0) for i in range(1, 6)}
+
+
+def test_odd_columns_and_very_long_texts(spark):
+    """Columns named like the operators' own, ids that are null or repeat, and a text of a megabyte."""
+    long = " ".join(f"w{i % 5000}x{i % 7}" for i in range(140_000))
+    assert len(long) > 1_000_000
+    rows = [(1, long, "en", "s"), (2, long + " end", "en", "s"), (3, None, None, None), (None, "no id " * 40, "en", None), (4, "", "en", "s"), (4, "again", "de", "t")]
+    names = "digest node label norm stats part sha n key queue word gram total text_sha256 group pid bucket w t row".split()
+    docs = spark.createDataFrame([(*r, *["x"] * len(names)) for r in rows], ", ".join(["doc_id bigint", "text string", "lang string", "source string", *[f"`{n}` string" for n in names]]))
+    held = F.lit(False)
+    model = quality_classifier.RuleModel(0.0, (((("log_words", True, 3.0),), 1.0),))
+    results = {
+        "op1": quality_rules.quality_rules(docs),
+        "op2": language_id.identify(docs, language_id.fit(docs, F.lit(True))),
+        "op3": ngram_join.near_duplicates(docs),
+        "op4": quality_classifier.classify(docs, model),
+        "op5": sentencepiece_codec.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), full=False),
+        "op6": toxicity.score_toxicity(docs, toxicity.Lexicon(((" w", 1.0),), 0.01)),
+        "op8": exact_dedup.exact_dedup(docs),
+        "op9": suffix_dedup.remove_repeats(docs),
+        "op10": lm_scoring.score_texts(docs, ~held, held),
+    }
+    got = {k: v.collect() for k, v in results.items()}
+    assert {k: len(v) for k, v in got.items()} == dict.fromkeys(results, len(rows))
+    assert {r["component_id"] for r in got["op3"] if r["doc_id"] in (1, 2)} == {1}
+    assert {r["doc_id"]: r["n_removed"] for r in got["op9"] if r["doc_id"] in (1, 2)} == {1: 0, 2: len(long) + 1}  # the text repeats itself, so its last word with a blank occurs in it too
+    assert sum(r["length"] for r in packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()) > 6
+    for kept in (exact_dedup.keep_winners(docs), ngram_join.keep_one(docs), quality_classifier.keep_good(docs, model)):
+        assert kept.columns == docs.columns
