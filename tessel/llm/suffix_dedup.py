@@ -34,7 +34,7 @@ GRAM = 16
 #: An anchor in this many groups is hot. How its windows are dealt depends on it, and no result.
 HOT_GROUPS = 1000
 #: MB of input for each group of documents, and for each bucket of anchors.
-GROUP_MB, BUCKET_MB = 1.0, 4.0
+GROUP_MB, BUCKET_MB = 1.0, 2.0
 #: Positions that minima are taken over at once, and bits that hold one.
 _BLOCK, _PLACE = 1 << 16, 20
 
@@ -474,10 +474,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), *extra)
     groups, buckets, tasks = shares_of(rows, GROUP_MB), shares_of(rows, BUCKET_MB), partitions_for(rows, BUCKET_MB)
     groups = max(groups, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    buckets = max(buckets, tasks)
+    buckets = -(-max(buckets, tasks) // tasks) * tasks  # as many for each task
     rows = rows.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(groups)).cast("int").alias("pid"), *rows.columns)
     anchors = rows.groupBy("pid").applyInArrow(lambda t: report_anchors(t, buckets), "bucket int, pid int, keys binary")
-    shared = anchors.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(match_anchors, "pid int, hot boolean, keys binary")
+    shared = anchors.repartitionById(tasks, F.col("bucket") % tasks).sortWithinPartitions("bucket").mapInArrow(match_anchors, "pid int, hot boolean, keys binary")
     none = pa.table({"pid": pa.array([], pa.int32()), "hot": pa.array([], pa.bool_()), "keys": pa.array([], pa.binary())})
 
     def send(texts: pa.Table, keys: pa.Table) -> pa.Table:
@@ -486,7 +486,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return send_runs(texts.column("pid")[0].as_py(), texts, keys if keys.num_rows else none, buckets)
 
     pieces = rows.groupBy("pid").cogroup(shared.groupBy("pid")).applyInArrow(send, PIECE)
-    flags = pieces.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(judge, "pid int, ranges binary")
+    flags = pieces.repartitionById(tasks, F.col("bucket") % tasks).sortWithinPartitions("bucket").mapInArrow(judge, "pid int, ranges binary")
 
     def finish(texts: pa.Table, found: pa.Table) -> pa.Table:
         return apply_ranges(texts, found, keep_text)
