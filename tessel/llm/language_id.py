@@ -32,20 +32,18 @@ TABLE_BITS = 18
 WORD_TABLE = 200_000
 
 
-def _letters() -> re.Pattern[str]:
-    r"""Runs of letters (Unicode's L): what ``\w`` takes without digits, the underscore and signs that only count, such as ² or Ⅷ."""
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
-    odd = [ord(c) for c in re.findall(r"[^\W\d_]", every) if unicodedata.category(c)[0] != "L"]
-    spans: list[list[int]] = []
-    for i in odd:
-        if spans and spans[-1][1] == i - 1:
-            spans[-1][1] = i
-        else:
-            spans.append([i, i])
-    return re.compile(r"[^\W\d_" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]+")
+#: Characters that ``[^\W\d_]`` takes and that are no letters (Unicode's L): signs that only count, such as ² or Ⅷ.
+COUNTING = frozenset(c for c in re.findall(r"[^\W\d_]", "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))) if unicodedata.category(c)[0] != "L")
+_RUNS = re.compile(r"[^\W\d_]+")
+_BLANKS = dict.fromkeys(map(ord, COUNTING), " ")
+
+
+def letters(text: str | None) -> list[str]:
+    """The runs of letters of ``text``, in lower case."""
+    t = (text or "").lower()
+    return _RUNS.findall(t if t.isascii() or COUNTING.isdisjoint(t) else t.translate(_BLANKS))
 
 
-LETTERS = _letters()
 #: First code point of each script range and the script that starts there.
 SCRIPTS = ((0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "indic"), (0xE00, "thai"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1E00, "latin"), (0x1F00, "greek"), (0x3040, "kana"), (0x3400, "han"), (0xAC00, "hangul"), (0xD7B0, "han"))
 _STARTS = [a for a, _ in SCRIPTS]
@@ -150,7 +148,7 @@ def fit(docs: DataFrame, allowed: Column, text_col: str = "text", lang_col: str
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = LETTERS.findall((text or "").lower())
+                words = letters(text)
                 if not words:
                     continue
                 own = sums.setdefault(lang, np.zeros((1 << TABLE_BITS) + len(SCRIPT_NAMES)))
@@ -184,7 +182,7 @@ class Labeller:
 
     def label(self, text: str | None) -> tuple[str, float, list[tuple[int, int, str]]]:
         """Language, score in 0 to 1, and spans (first word, end, language) over the words of letters."""
-        words = LETTERS.findall((text or "").lower())
+        words = letters(text)
         names = self.model.languages
         if not words or not names:
             return "und", 0.0, []

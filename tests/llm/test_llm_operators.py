@@ -95,8 +95,9 @@ def test_language_spans_and_undetermined(spark):
 
 def test_letters_are_those_of_unicode():
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    found = set("".join(language_id.LETTERS.findall(every)))
-    assert found == {c for c in every if unicodedata.category(c)[0] == "L"}
+    lower = [c for c in every if c.lower() == c]
+    assert set("".join(language_id.letters("".join(lower)))) == {c for c in lower if unicodedata.category(c)[0] == "L"}
+    assert language_id.letters("a½b Ⅷ c_d é2") == ["a", "b", "c", "d", "é"] and language_id.letters(None) == []
 
 
 def _best_path(scores, switch):
