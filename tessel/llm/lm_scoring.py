@@ -8,9 +8,9 @@ A-Z in lower case.
 The tree stays distributed. Counts of the byte 6-grams of all texts meet in a shuffle by the latest
 ``SUBTREE`` bytes of context, so that each subtree is whole in one row; the levels above are bounded by
 their alphabet (65,793 nodes) and are summed and broadcast. Two passes over the subtrees, upwards for the
-weights and downwards for the predictions, give a table of every 6-gram's log-probability. 6-grams of a
-fixed least share of the corpus are broadcast from it; the rest of each text's 6-grams meets it in a join,
-where no key is hot.
+weights and downwards for the predictions, give a table of every 6-gram's log-probability. The most
+frequent 6-grams, up to a fixed number, are broadcast from it; the rest of each text's 6-grams meets it in
+a join, where no key is hot.
 
 Word counts of the training corpus stay distributed. Words that hold at least a hundred-thousandth of
 all tokens (so 100,000 of them at most) are broadcast; the rest of each text's words meets its counts
@@ -34,8 +34,9 @@ from tessel.llm.common import materialize, partitions_for
 DEPTH = 5
 #: Latest bytes of context that subtrees are dealt by; the levels above are summed and broadcast.
 SUBTREE = 3
-#: 6-grams whose log-probabilities are broadcast at most; the others are joined. No result depends on it.
-MAX_NODES = 3_000_000
+#: 6-grams whose log-probabilities are broadcast at most (16 bytes each), the most frequent first; the others are joined.
+#: No result depends on it.
+MAX_NODES = 1_000_000
 #: 6-grams of whole subtrees that a row holds, about.
 PACK = 500_000
 #: A word is broadcast if it holds this share of all training tokens.
@@ -394,6 +395,21 @@ def fit_grams(rows: DataFrame) -> DataFrame:
     return materialize(packs.mapInArrow(downwards, "gram bigint, log_p double, total bigint"))
 
 
+def frequent_grams(table: DataFrame, most: int) -> DataFrame:
+    """Rows of ``table`` (gram, log_p, total) with the greatest totals, ``most`` at most, in rising order.
+
+    Totals are cut between steps of a 64th of a power of two, which a count by step finds (4,032 rows or fewer).
+    """
+    step = F.floor(F.log2("total") * 64)
+    held, least = 0, None
+    for row in table.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        held += row["count"]
+        if held > most:
+            break
+        least = row["step"]
+    return table.where(step >= F.lit(least)).orderBy("total", "gram")
+
+
 class HotGrams:
     """Log-probabilities of 6-grams in two hash tables; a 6-gram that finds no place in either is not held."""
 
@@ -497,8 +513,7 @@ def score_texts(docs: DataFrame, training: Column, held_out: Column, id_col: str
     n, v = total + ends, kinds + (ends > 0)
     hot = {bytes(w): c for w, c in words.where(F.col("c") >= max(2.0, hot_share * n)).collect()}
     table = fit_grams(rows)
-    positions = table.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
-    frequent = table.where(F.col("total") >= max(2.0, positions / max_nodes)).orderBy("total", "gram").select("gram", "log_p").toArrow()
+    frequent = frequent_grams(table, max_nodes).select("gram", "log_p").toArrow()
     sent = spark.sparkContext.broadcast((frequent["gram"].to_numpy(), frequent["log_p"].to_numpy(), {w: (i, c) for i, (w, c) in enumerate(hot.items())}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
