@@ -528,10 +528,10 @@ def score_texts(docs: DataFrame, training: Column, held_out: Column, id_col: str
                 cold, times, tokens, known, base = [], [], [], [], []
                 for t in texts:
                     held = Counter(t.split())
-                    rare = held.keys() - logs.keys()
-                    cold.append(list(rare))
+                    rare = [w for w in held if w not in logs]  # a difference of views would visit all of logs
+                    cold.append(rare)
                     times.append([held[w] for w in rare])
-                    mine = [(held[w], logs[w]) for w in held.keys() & logs.keys()]
+                    mine = [(k, logs[w]) for w, k in held.items() if w in logs]
                     tokens.append(held.total() + 1)
                     known.append(sum([k for k, _ in mine]))
                     base.append(sum([k * x for k, x in mine]))
