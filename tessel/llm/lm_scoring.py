@@ -20,7 +20,7 @@ in a join, where no key is hot.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -162,6 +162,18 @@ def _log_gamma_int(n: np.ndarray) -> np.ndarray:
     return _log_gamma_half(n + 0.5)
 
 
+#: Both functions of the counts below 4096, which nearly all counts are.
+_HALF, _INT = _log_gamma_half(np.arange(4096.0)), _log_gamma_int(np.arange(4096.0))
+
+
+def _read(table: np.ndarray, series: Callable[[np.ndarray], np.ndarray], n: np.ndarray) -> np.ndarray:
+    """``series`` of the whole numbers ``n``, from ``table`` where it reaches."""
+    out = table[np.minimum(n, len(table) - 1).astype(np.int64)]
+    far = n >= len(table)
+    out[far] = series(n[far])
+    return out
+
+
 def _bits(counts: np.ndarray) -> np.ndarray:
     """Zeros and ones of each binary decision: (node, 255, 2) from (node, 256). Decisions of a level stand together, first bit first."""
     levels = [counts.reshape(len(counts), 1 << k, 2, -1).sum(axis=3) for k in range(8)]
@@ -171,7 +183,7 @@ def _bits(counts: np.ndarray) -> np.ndarray:
 def _kt(pairs: np.ndarray) -> np.ndarray:
     """Krichevsky-Trofimov log-probability of the pairs of counts."""
     a, b = pairs[..., 0], pairs[..., 1]
-    return _log_gamma_half(a) + _log_gamma_half(b) - _log_gamma_int(a + b) - np.log(np.pi)
+    return _read(_HALF, _log_gamma_half, a) + _read(_HALF, _log_gamma_half, b) - _read(_INT, _log_gamma_int, a + b) - np.log(np.pi)
 
 
 @dataclass(frozen=True)
