@@ -12,9 +12,9 @@ weights and downwards for the predictions, give a table of every 6-gram's log-pr
 frequent 6-grams, up to a fixed number, are broadcast from it; the rest of each text's 6-grams meets it in
 a join, where no key is hot.
 
-Word counts of the training corpus stay distributed. Words that hold at least a hundred-thousandth of
-all tokens (so 100,000 of them at most) are broadcast; the rest of each text's words meets its counts
-in a join, where no key is hot.
+Word counts of the training corpus stay distributed. The most frequent words, up to a fixed number, are
+broadcast (very long ones only for a fixed least share of all tokens, which bounds their bytes); the rest of
+each text's words meets its counts in a join, where no key is hot.
 """
 
 from __future__ import annotations
@@ -39,8 +39,9 @@ SUBTREE = 3
 MAX_NODES = 1_000_000
 #: 6-grams of whole subtrees that a row holds, about.
 PACK = 500_000
-#: A word is broadcast if it holds this share of all training tokens.
-HOT_SHARE = 1e-5
+#: Words of at most ``HOT_BYTES`` bytes whose counts are broadcast, the most frequent first. Longer ones are broadcast if they hold
+#: one of ``HOT_WORDS`` equal shares of all training tokens; all others are joined.
+HOT_WORDS, HOT_BYTES = 100_000, 64
 #: Distinct keys that a task gathers before it passes its counts on.
 FLUSH = 400_000
 _CHUNK = 1 << 18
@@ -407,19 +408,19 @@ def fit_grams(rows: DataFrame) -> DataFrame:
     return materialize(packs.mapInArrow(downwards, "gram bigint, log_p double, total bigint"))
 
 
-def frequent_grams(table: DataFrame, most: int) -> DataFrame:
-    """Rows of ``table`` (gram, log_p, total) with the greatest totals, ``most`` at most, in rising order.
+def most_frequent(table: DataFrame, count: str, most: int) -> DataFrame:
+    """Rows of ``table`` with the greatest ``count``, ``most`` at most.
 
-    Totals are cut between steps of a 64th of a power of two, which a count by step finds (4,032 rows or fewer).
+    Counts are cut between steps of a 64th of a power of two, which a count by step finds (4,032 rows or fewer).
     """
-    step = F.floor(F.log2("total") * 64)
+    step = F.floor(F.log2(count) * 64)
     held, least = 0, None
     for row in table.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
         held += row["count"]
         if held > most:
             break
         least = row["step"]
-    return table.where(step >= F.lit(least)).orderBy("total", "gram")
+    return table.where(step >= F.lit(least))
 
 
 class HotGrams:
@@ -507,14 +508,14 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def score_texts(docs: DataFrame, training: Column, held_out: Column, id_col: str = "doc_id", text_col: str = "text", hot_share: float = HOT_SHARE, max_nodes: int = MAX_NODES) -> DataFrame:
+def score_texts(docs: DataFrame, training: Column, held_out: Column, id_col: str = "doc_id", text_col: str = "text", hot_words: int = HOT_WORDS, max_nodes: int = MAX_NODES) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     ``training`` says which rows are learned from. Null text counts as empty: one token, the end, and
     the score of an end right at the start. Repeated rows are scored, and learned, each for itself. With
     nothing to learn from, every known count is 0. Very long texts are scored whole, in blocks. An empty table gives an empty result; no column but
-    the two named and those of the conditions is read. At most ``max_nodes`` 6-grams are broadcast, the others
-    joined; like ``hot_share``, this changes no result.
+    the two named and those of the conditions is read. At most ``max_nodes`` 6-grams and ``hot_words`` words
+    are broadcast, the others joined; this changes no result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), held_out.alias("held_out"), F.coalesce(training, F.lit(False)).alias("learn"))
@@ -523,9 +524,11 @@ def score_texts(docs: DataFrame, training: Column, held_out: Column, id_col: str
     ends = learn.count()
     total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = total + ends, kinds + (ends > 0)
-    hot = {bytes(w): c for w, c in words.where(F.col("c") >= max(2.0, hot_share * n)).collect()}
+    long = F.length("word") > HOT_BYTES
+    common_long = words.where(long & (F.col("c") >= max(2.0, n / max(1, hot_words))))  # their bytes: hot_words times the mean length of a word at most
+    hot = {bytes(w): c for w, c in most_frequent(words.where(~long), "c", hot_words).unionByName(common_long).collect()}
     table = fit_grams(rows)
-    frequent = frequent_grams(table, max_nodes).select("gram", "log_p").toArrow()
+    frequent = most_frequent(table, "total", max_nodes).orderBy("total", "gram").select("gram", "log_p").toArrow()
     sent = spark.sparkContext.broadcast((frequent["gram"].to_numpy(), frequent["log_p"].to_numpy(), {w: (i, c) for i, (w, c) in enumerate(hot.items())}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

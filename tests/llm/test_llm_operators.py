@@ -488,8 +488,8 @@ def test_lm_base_model_and_context_tree(docs, local, empty):
     ends = sum(not held(i) for i, _ in rows)
     n, v = sum(counts.values()) + ends, len(counts) + 1
     condition = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
-    for share in (1e-5, 0.01):  # every word broadcast, and most joined
-        got = {r["doc_id"]: r for r in lm_scoring.score_texts(named, ~condition, condition, hot_share=share, max_nodes=500).collect()}
+    for most in (100_000, 100, 0):  # every word broadcast, most joined, and all joined
+        got = {r["doc_id"]: r for r in lm_scoring.score_texts(named, ~condition, condition, hot_words=most, max_nodes=500).collect()}
         for i, t in rows:
             w = tokens(t)
             base = sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w) + math.log10((ends + 1) / (n + v + 1))
