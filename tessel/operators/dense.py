@@ -35,6 +35,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
+def quantize(v: Column) -> Column:
+    """Numbers from -1 to 1 as whole numbers of eight bits."""
+    return F.transform(v, lambda x: F.round(x.cast("double") * 127, 0).cast("tinyint"))
+
+
 def search(queries: DataFrame, vectors: DataFrame, k: int | None = 10, skip_self: bool = False) -> DataFrame:
     """qid, id, score (6 places)[, rank] by dot product of (qid, v) with (id, v); ``k`` None keeps every score.
 

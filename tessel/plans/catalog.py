@@ -1322,10 +1322,10 @@ def graph_stats(s: SparkSession, d: str) -> DataFrame:
 # -- further operators -------------------------------------------------------------------------------------------------
 
 
-@query("metadata_filter", sql_top("select d.doc_id % 10 as qid, d.doc_id as id, n_chars::double as score from documents d where lang = 'en'", 5))
+@query("metadata_filter", sql_top(f"select a.vec_id as qid, b.vec_id as id, round({DOT}, 6) as score from (select * from embeddings where vec_id % 50 = 0) a, (select * from embeddings where label = 1) b", 5))
 def metadata_filter(s: SparkSession, d: str) -> DataFrame:
-    rows = docs(s, d).where("lang = 'en'").select((F.col("doc_id") % 10).alias("qid"), F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score"))
-    return lexical.top(rows, 5)
+    """The nearest vectors of one label; the label is filtered in the scan, before anything is ranked."""
+    return dense.search(vector_queries(s, d), vectors(s, d).where("label = 1"), 5)
 
 
 @query("history_context", "select conv_id, turn, array_to_string(list(role || ': ' || text) over (partition by conv_id order by turn rows between 3 preceding and 1 preceding), chr(10)) as history from conversations")
@@ -1338,8 +1338,23 @@ def history_context(s: SparkSession, d: str) -> DataFrame:
 
 @query("quantize_int8", "select vec_id as id, list_sum(list_transform(embedding, lambda x: round(x::double * 127)))::bigint as total from embeddings")
 def quantize_int8(s: SparkSession, d: str) -> DataFrame:
-    q = F.transform("v", lambda x: F.round(x.cast("double") * 127, 0).cast("tinyint"))
-    return vectors(s, d).select("id", F.aggregate(q, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+    return vectors(s, d).select("id", F.aggregate(dense.quantize(F.col("v")), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+
+
+INT8_SQL = "select vec_id, list_transform(embedding, lambda x: round(x::double * 127)) as embedding from embeddings"
+
+
+@query(
+    "quantize_int8_recall",
+    f"with e as ({sql_dense(10)}), z as ({INT8_SQL}), i as ({sql_top(f'select a.vec_id as qid, b.vec_id as id, {DOT} as score from (select * from z where vec_id % 50 = 0) a, z b', 10)}) "
+    "select qid, count(i.id)::bigint as found, round(count(i.id) / count(*), 6) as recall from e left join i using (qid, id) group by qid",
+)
+def quantize_int8_recall(s: SparkSession, d: str) -> DataFrame:
+    """For each query, the share of its exact best ten that a search over whole numbers of eight bits finds too."""
+    small = lambda df: df.withColumn("v", dense.quantize(F.col("v")))
+    exact = dense.search(vector_queries(s, d), vectors(s, d), 10)
+    found = dense.search(small(vector_queries(s, d)), small(vectors(s, d)), 10).select("qid", "id", F.lit(1).alias("hit"))
+    return exact.join(found, ["qid", "id"], "left").groupBy("qid").agg(F.count("hit").alias("found"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
 
 
 @query("small_to_big", f"with {FIXED_SQL} select doc_id || '#' || ord as chunk_id, doc_id, length(text)::bigint as parent_chars from fixed join documents using (doc_id)")
