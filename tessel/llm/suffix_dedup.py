@@ -1,16 +1,16 @@
 """Removal of repeated substrings by suffix order: every byte in a string of ``LENGTH`` bytes that an earlier document holds.
 
-Every window of ``LENGTH`` bytes has an anchor, the 16 bytes in it of least hash (the first of equals), and
+Every window of ``LENGTH`` bytes has an anchor, the 24 bytes in it of least hash (the first of equals), and
 consecutive windows with one anchor form a run. Equal windows have equal anchors, so:
 
-1. Documents are dealt to groups by their id. Each group reports its distinct anchors; anchors that no
-   other document has are done with.
+1. Documents are dealt to groups by their id. Each group reports its distinct anchors and about how many
+   distinct runs each has; anchors that no other document has are done with.
 2. Runs of shared anchors go, by anchor, to shards. A shard sorts the suffixes of its runs, takes the
    Burrows-Wheeler transform and extends intervals backwards, breadth first: common prefixes of
    neighbouring suffixes come out by increasing length, and the search stops at ``LENGTH``. What is not
    split by then are the classes of equal windows; each window not in its class's least document goes.
-   Anchors in very many groups are hot: each of their windows is a run of its own, dealt by its own hash, so that
-   no shard gets all surroundings of a frequent passage. It is compared in the same way.
+   Anchors of very many distinct runs are hot: each of their windows is a run of its own, dealt by its own hash, so
+   that no shard gets all surroundings of a frequent passage. It is compared in the same way.
 3. Each group gets the ranges of its documents that go.
 
 Equal runs meet within their group first, so a text with very many copies sends one run for each group.
@@ -27,14 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import by_key, partitions_for, shares_of
+from tessel.llm.common import MOST_PARTITIONS, by_key, shares_of
 
 LENGTH = 50
-GRAM = 16
-#: An anchor in this many groups is hot. How its windows are dealt depends on it, and no result.
-HOT_GROUPS = 1000
-#: MB of input for each group of documents, and for each bucket of anchors.
-GROUP_MB, BUCKET_MB = 1.0, 2.0
+GRAM = 24
+#: An anchor in this many groups is hot, where a group counts for each of its distinct runs (in powers of two): they are
+#: more than a shard sorts at once. How its windows are dealt depends on it, and no result.
+HOT_GROUPS = 1 << 15
+#: Bits of an anchor's hash that are sent, besides its bucket; the lowest tell the power of two of its distinct runs in a group.
+_KEY = np.uint64((1 << 48) - 16)
+_POWER = np.uint64(15)
+#: MB of input for each group of documents, and for each bucket of anchors: the first of each until there are ``MANY`` of
+#: them, then as many up to the second, as each group may send a row to each bucket.
+GROUP_MB, BUCKET_MB, MANY = (1.0, 3.0), (2.0, 8.0), 512
 #: Positions that minima are taken over at once, and bits that hold one.
 _BLOCK, _PLACE = 1 << 16, 20
 
@@ -55,11 +60,13 @@ def _loads(raw: np.ndarray) -> np.ndarray:
     return out[: len(raw)]
 
 
-def _gram_hashes(load: np.ndarray, later: np.ndarray) -> np.ndarray:
-    """Hashes of 16 bytes, given as two numbers each."""
+def _gram_hashes(load: np.ndarray, later: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of 24 bytes, given as three numbers each."""
     h = load * np.uint64(0x9E3779B97F4A7C15)
     h += later * np.uint64(0xC2B2AE3D27D4EB4F)
     h ^= h >> np.uint64(32)
+    h += last * np.uint64(0x165667B19E3779F9)
+    h ^= h >> np.uint64(32)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0x94D049BB133111EB)
@@ -96,19 +103,18 @@ class Group:
         n = len(self.raw) - LENGTH + 1
         if n < 1:
             self.row = self.first = self.last = np.zeros(0, np.int64)
-            self.key = np.zeros(0, np.uint64)
+            self.key = self.bucket_key = np.zeros(0, np.uint64)
             return
         place = np.uint64((1 << _PLACE) - 1)
         places = np.arange(_BLOCK + LENGTH, dtype=np.uint64)
         anchor = np.empty(n, np.int64)
         for low in range(0, n, _BLOCK):
             many = min(_BLOCK, n - low) + LENGTH - GRAM
-            v = _gram_hashes(self.load[low : low + many], self.load[low + 8 : low + 8 + many])
+            v = _gram_hashes(*(self.load[low + k : low + k + many] for k in (0, 8, 16)))
             v &= ~place
             v |= places[:many]
-            for k in (1, 2, 4, 8, 16):
+            for k in (1, 2, 4, 8, 11):
                 v = np.minimum(v[:-k], v[k:])
-            v = np.minimum(v[:-3], v[3:])
             v &= place
             anchor[low : low + len(v)] = v
             anchor[low : low + len(v)] += low
@@ -123,7 +129,21 @@ class Group:
         self.first, self.last = first[real], last[real]
         self.row = np.array(own, np.int64)[np.searchsorted(starts, self.first, side="right") - 1]
         at = anchor[self.first]
-        self.key = _gram_hashes(self.load[at], self.load[at + 8])
+        self.key = _gram_hashes(*(self.load[at + k] for k in (0, 8, 16)))
+        self.bucket_key, self.key = self.key >> np.uint64(40), self.key & _KEY
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct anchors, with the power of two of their distinct runs (told by length and ends), and what their buckets come from."""
+        run = self.load[self.first] * np.uint64(0x9E3779B97F4A7C15) + self.load[self.last + LENGTH - 8]
+        run = _mix(run + (self.last - self.first).astype(np.uint64))
+        order = np.lexsort((run, self.key))
+        key, run = self.key[order], run[order]
+        at = _groups(key)
+        if not len(at):
+            return key, key
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (run[1:] != run[:-1])])
+        power = np.minimum(np.log2(np.add.reduceat(new.astype(np.int64), at)).astype(np.uint64), _POWER)
+        return key[at] | power, self.bucket_key[order][at]
 
 
 def _groups(key: np.ndarray) -> np.ndarray:
@@ -137,17 +157,27 @@ def _slices(key: np.ndarray) -> list[tuple[int, int]]:
 
 
 def report_anchors(table: pa.Table, buckets: int) -> pa.Table:
-    """bucket, pid, keys: the group's distinct anchors."""
+    """bucket, pid, keys: the group's distinct anchors, six bytes each."""
     group = Group(table)
     group.find_runs()
     pid = table.column("pid")[0].as_py()
-    keys = np.sort(group.key)
-    keys = keys[_groups(keys)]
-    b = (keys % np.uint64(buckets)).astype(np.int64)
+    keys, of = group.anchors()
+    b = (of % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(b, kind="stable")
     keys, b = keys[order], b[order]
     cuts = _slices(b)
-    return pa.table({"bucket": pa.array([int(b[x]) for x, _ in cuts], pa.int32()), "pid": pa.array([pid] * len(cuts), pa.int32()), "keys": pa.array([keys[x:y].tobytes() for x, y in cuts], pa.binary())})
+    return pa.table({"bucket": pa.array([int(b[x]) for x, _ in cuts], pa.int32()), "pid": pa.array([pid] * len(cuts), pa.int32()), "keys": pa.array([_six(keys[x:y]) for x, y in cuts], pa.binary())})
+
+
+def _six(keys: np.ndarray) -> bytes:
+    """The low six bytes of each number."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six(blob: bytes) -> np.ndarray:
+    wide = np.zeros((len(blob) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel()
 
 
 def match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,23 +187,25 @@ def match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _match(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    keys, pids = [], []
-    for pid, blob in zip(table.column(1).to_pylist(), table.column(2).to_pylist(), strict=True):
-        keys.append(np.frombuffer(blob, np.uint64))
-        pids.append(np.full(len(keys[-1]), pid, np.int32))
-    key, pid = np.concatenate(keys), np.concatenate(pids)
+    blobs = table.column(2).to_pylist()
+    key = _from_six(b"".join(blobs))
+    pid = np.repeat(np.array(table.column(1), np.int32), [len(b) // 6 for b in blobs])
     order = np.argsort(key)
     key, pid = key[order], pid[order]
+    power = (key & _POWER).astype(np.int64)
+    key = key & _KEY
     at = _groups(key)
+    if not len(at):
+        return
     sizes = np.diff(np.concatenate([at, [len(key)]]))
-    n = np.repeat(sizes, sizes)
-    key, pid, hot = key[n > 1], pid[n > 1], n[n > 1] >= HOT_GROUPS
+    n, runs = np.repeat(sizes, sizes), np.repeat(np.add.reduceat(1 << power, at), sizes)
+    key, pid, hot = key[n > 1], pid[n > 1], runs[n > 1] >= HOT_GROUPS
     order = np.lexsort((hot, pid))
     key, pid, hot = key[order], pid[order], hot[order]
     cuts = _slices(pid * 2 + hot)
     for a in range(0, len(cuts), 1000):
         some = cuts[a : a + 1000]
-        yield pa.RecordBatch.from_pydict({"pid": pa.array([int(pid[x]) for x, _ in some], pa.int32()), "hot": pa.array([bool(hot[x]) for x, _ in some], pa.bool_()), "keys": pa.array([key[x:y].tobytes() for x, y in some], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"pid": pa.array([int(pid[x]) for x, _ in some], pa.int32()), "hot": pa.array([bool(hot[x]) for x, _ in some], pa.bool_()), "keys": pa.array([_six(key[x:y]) for x, y in some], pa.binary())})
 
 
 _PIECE = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("pid", pa.int32()), ("size", pa.int64()), ("blob", pa.binary())])
@@ -195,7 +227,7 @@ def send_runs(pid: int, table: pa.Table, shared: pa.Table, buckets: int) -> pa.T
     """Pieces for the shards: the group's runs of shared anchors, each distinct run once, and what goes for certain."""
     group = Group(table)
     group.find_runs()
-    cold, hot = (np.sort(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(k, np.uint64) for k, h in zip(shared.column("keys").to_pylist(), shared.column("hot").to_pylist(), strict=True) if h == want]])) for want in (False, True))
+    cold, hot = (np.sort(_from_six(b"".join([k for k, h in zip(shared.column("keys").to_pylist(), shared.column("hot").to_pylist(), strict=True) if h == want]))) for want in (False, True))
     order = np.lexsort((group.row, group.key))
     key, row = group.key[order], group.row[order]
     at = _groups(key)
@@ -224,7 +256,7 @@ def send_runs(pid: int, table: pa.Table, shared: pa.Table, buckets: int) -> pa.T
             goes.append((r, start, start + b - a))
     dealt: dict[int, list[tuple[bytes, list]]] = {}
     for run, entry in runs.items():
-        dealt.setdefault(entry[0] % buckets, []).append((run, entry))
+        dealt.setdefault((entry[0] >> 4) % buckets, []).append((run, entry))
     picked = order[is_hot]
     if len(picked):
         lengths = group.last[picked] - group.first[picked] + 1
@@ -460,6 +492,13 @@ def apply_ranges(table: pa.Table, flags: pa.Table, keep_text: bool) -> pa.Table:
     return made.append_column("carried", table.column("carried").take(pa.array(group.order, pa.int64()))) if "carried" in table.column_names else made
 
 
+def shape(rows: DataFrame, least: int) -> tuple[int, int, int]:
+    """Groups of documents, buckets of anchors and the tasks that these are dealt to, as many for each; ``least`` of each."""
+    groups, buckets = (max(least, min(shares_of(rows, first), MANY), shares_of(rows, second)) for first, second in (GROUP_MB, BUCKET_MB))
+    tasks = min(buckets, max(least, MOST_PARTITIONS))
+    return groups, -(-buckets // tasks) * tasks, tasks
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the text left
     and a struct ``carried`` of other columns.
@@ -472,9 +511,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     extra = [F.struct(*carry).alias("carried")] if carry else []
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), *extra)
-    groups, buckets, tasks = shares_of(rows, GROUP_MB), shares_of(rows, BUCKET_MB), partitions_for(rows, BUCKET_MB)
-    groups = max(groups, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    buckets = -(-max(buckets, tasks) // tasks) * tasks  # as many for each task
+    groups, buckets, tasks = shape(rows, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(groups)).cast("int").alias("pid"), *rows.columns)
     anchors = rows.groupBy("pid").applyInArrow(lambda t: report_anchors(t, buckets), "bucket int, pid int, keys binary")
     shared = anchors.repartitionById(tasks, F.col("bucket") % tasks).sortWithinPartitions("bucket").mapInArrow(match_anchors, "pid int, hot boolean, keys binary")

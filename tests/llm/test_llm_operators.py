@@ -466,6 +466,33 @@ def test_suffix_dedup_steps_agree_with_hot_anchors(local, monkeypatch, hot):
     assert collections.Counter(tuple(r.values()) for r in done) == _removed(named)
 
 
+def test_suffix_dedup_anchors_in_many_groups_are_no_runs_of_windows():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rng = np.random.default_rng(9)
+    letters = [bytes(rng.choice(np.frombuffer(b"abcdefghijklmnop", np.uint8), 200)).decode() for _ in range(1201)]
+    local = [(i, x[:100] + letters[-1][:60] + x[100:]) for i, x in enumerate(letters[:-1])]
+    tables = [pa.table({"pid": pa.array([i], pa.int32()), "doc_id": pa.array([i], pa.int64()), "text": pa.array([t])}) for i, t in local]
+    anchors = pa.concat_tables([suffix_dedup.report_anchors(t, 2) for t in tables]).sort_by("bucket")
+    shared = pa.Table.from_batches(list(suffix_dedup.match_anchors(iter(anchors.to_batches()))))
+    pieces = pa.concat_tables([suffix_dedup.send_runs(p, t, shared.filter(pc.equal(shared["pid"], p)), 2) for p, t in enumerate(tables)]).sort_by("bucket")
+    assert pc.sum(pieces["size"]).as_py() < 3 * sum(len(t) for _, t in local)
+    flags = pa.Table.from_batches(list(suffix_dedup.judge(iter(pieces.to_batches()))))
+    done = pa.concat_tables([suffix_dedup.apply_ranges(t, flags.filter(pc.equal(flags["pid"], p)), False) for p, t in enumerate(tables)]).to_pylist()
+    assert collections.Counter(tuple(r.values()) for r in done) == _removed(local)
+
+
+def test_suffix_dedup_rows_between_groups_and_buckets_grow_with_the_input(monkeypatch):
+    def rows(gb):
+        monkeypatch.setattr(suffix_dedup, "shares_of", lambda _, mb: int(gb * 1000 / mb) + 1)
+        groups, buckets, tasks = suffix_dedup.shape(None, 51)
+        assert groups * 3 >= gb * 1000 and buckets * 8 >= gb * 1000 and buckets % tasks == 0
+        return groups * buckets / gb
+
+    assert rows(6) < 1.1 * rows(0.51)
+
+
 def test_prefix_classes_by_brute_force():
     rng = np.random.default_rng(4)
     for _ in range(20):
