@@ -1,6 +1,6 @@
 """Similarity join of documents by the Jaccard similarity of their word n-grams, with vertical partitioning.
 
-The n-grams (64-bit hashes) have one global order: rare ones first, as a bounded sample of the corpus
+The n-grams (64-bit hashes) have one global order: rare ones first, as a sketch of their counts in the whole corpus
 tells, then by hash. Pivots cut this order into fragments of equal mass. Each text is cut at the pivots, each
 fragment's parts are compared in groups of their own, and the partial overlaps are summed for each pair.
 
@@ -16,7 +16,7 @@ least of them alone. Hash collisions aside (n^2 / 2^64 for a pair), the join is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,8 +39,8 @@ FEW = 600
 BITS = 4
 #: Pairs whose documents' ids are broadcast to the scan that fetches the texts, at most; beyond, the texts are joined by shuffle.
 BROADCAST_PAIRS = 200_000
-#: Documents that the sample for the order holds, about; slots of its sketch.
-ORDER_ROWS, ORDER_BITS = 20_000, 20
+#: Slots of the sketch that counts n-grams for the order, as a power of two.
+ORDER_BITS = 20
 #: Leaves of a centre that one group compares; a centre with more is copied.
 STAR = 512
 #: Leading n-grams of a prefix: groups of the first round, and of the second for pairs that share one. Half are those of
@@ -179,14 +179,12 @@ def may_link(counts_a: np.ndarray, counts_b: np.ndarray, n_a: np.ndarray, n_b: n
     return ((NUMERATOR + DENOMINATOR) * room >= NUMERATOR * (n_a + n_b)) & (DENOMINATOR * np.minimum(n_a, n_b) >= NUMERATOR * np.maximum(n_a, n_b))
 
 
-def learn_order(docs: DataFrame, rows: int = ORDER_ROWS) -> GlobalOrder:
-    """The order of n-grams from a sample. What is looked at first depends on it, never what is found."""
-    share = min(1.0, rows / max(1, docs.count()))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else docs
-    slices = 16
+def learn_order(docs: DataFrame) -> GlobalOrder:
+    """The order of n-grams by their counts in all of ``docs``, where a task counts each set of n-grams once."""
+    slices, width = 16, (1 << ORDER_BITS) // 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, own, seen = Shingler(), np.zeros(1 << ORDER_BITS, np.uint32), set()
+        shingler, own, seen = Shingler(), np.zeros(1 << ORDER_BITS, np.int64), set()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 grams = shingler(text)
@@ -194,25 +192,28 @@ def learn_order(docs: DataFrame, rows: int = ORDER_ROWS) -> GlobalOrder:
                 if mark not in seen:
                     seen.add(mark)
                     np.add.at(own, (grams >> np.uint64(64 - ORDER_BITS)).astype(np.int64), 1)
-        at = np.flatnonzero(own).astype(np.uint32)
-        cuts = np.searchsorted(at, np.arange(slices + 1) << (ORDER_BITS - 4))
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(range(slices), pa.int32()), "blob": pa.array([at[a:b].tobytes() + own[at[a:b]].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)])})
+        yield _sketch(range(slices), own.reshape(slices, width))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(1 << ORDER_BITS, np.uint32)
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for blob in batch.column(1).to_pylist():
-                both = np.frombuffer(blob, np.uint32)
-                sums[both[: len(both) // 2]] += both[len(both) // 2 :]
-        at = np.flatnonzero(sums).astype(np.uint32)
-        yield pa.RecordBatch.from_pydict({"slice": pa.array([0], pa.int32()), "blob": pa.array([at.tobytes() + sums[at].tobytes()])})
-
-    counts = np.zeros(1 << ORDER_BITS, np.int64)
-    partial = sample.select("text").mapInArrow(count, "slice int, blob binary")
+            for at, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums.setdefault(at, np.zeros(width, np.int64))[:] += _counts(blob, width)
+        yield _sketch(sums, sums.values())
+
+    counts = np.zeros((slices, width), np.int64)
+    partial = docs.select("text").mapInArrow(count, "slice int, blob binary")
     for r in partial.repartition(slices, "slice").mapInArrow(add, "slice int, blob binary").collect():
-        both = np.frombuffer(bytes(r["blob"]), np.uint32)
-        counts[both[: len(both) // 2]] += both[len(both) // 2 :]
-    return cut_order(counts)
+        counts[r["slice"]] = _counts(bytes(r["blob"]), width)
+    return cut_order(counts.ravel())
+
+
+def _sketch(slices: Iterable[int], counts: Iterable[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"slice": pa.array(slices, pa.int32()), "blob": pa.array([pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in counts], pa.binary())})
+
+
+def _counts(blob: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, decompressed_size=8 * width, codec="zstd", asbytes=True), np.int64)
 
 
 _READ = "node bigint, doc_id bigint, n bigint, digest binary, counts binary, fine binary, leading binary, bucket int, blob binary"

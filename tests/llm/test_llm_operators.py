@@ -441,6 +441,17 @@ def _removed(local):
     return collections.Counter(out)
 
 
+def test_ngram_order_counts_every_document(spark):
+    texts = [f"a{i} b{i % 7} c d e f{i % 3}" for i in range(25_000)]
+    counts = np.zeros(1 << ngram_join.ORDER_BITS, np.int64)
+    shingler = ngram_join.Shingler()
+    for t in texts:
+        np.add.at(counts, (shingler(t) >> np.uint64(64 - ngram_join.ORDER_BITS)).astype(np.int64), 1)
+    want = ngram_join.cut_order(counts)
+    got = ngram_join.learn_order(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3))
+    assert (got.rank_of_slot == want.rank_of_slot).all() and got.pivots == want.pivots
+
+
 def test_suffix_dedup_equals_brute_force(docs, local, empty):
     got = suffix_dedup.remove_repeats(docs).collect()
     assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == _removed(local)
