@@ -8,10 +8,11 @@ import zlib
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pytest
 from test_llm_operators import _removed, _shingles
 from tokenizers import Tokenizer
 
-from tessel.llm import quality_classifier
+from tessel.llm import ngram_join, quality_classifier
 from tessel.llm.common import documents, labels, materialize
 
 SF = "/root/testdata/sf0.001"
@@ -41,6 +42,20 @@ def test_stages_pass_on_what_they_keep(spark):
     assert {r["doc_id"] for r in pieces} == before
 
 
+def test_near_copies_are_ordered_by_counts_of_every_document(spark, monkeypatch):
+    class Counted(Exception):
+        pass
+
+    def seen(counts):
+        raise Counted(int(counts.sum()))
+
+    monkeypatch.setattr(ngram_join, "cut_order", seen)
+    docs = spark.range(21_000).selectExpr("id as doc_id", "concat_ws(' ', 'a', 'b', 'c', 'd', 'e', id) as text", "'en' as lang", "'web' as source", "9L as n_chars")
+    with pytest.raises(Counted) as got:
+        corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert got.value.args == (2 * 21_000,)
+
+
 def _texts(frame):
     return {r["doc_id"]: r["text"] for r in frame.select("doc_id", "text").collect()}
 
