@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,15 +45,35 @@ def fixed(text: Column, size: int = 200, overlap: int = 40) -> Column:
 def sentence(text: Column, size: int = 200, overlap: int = 1) -> Column:
     """Whole sentences packed greedily up to ``size`` words; each chunk begins with the last ``overlap`` sentences of the one before.
 
-    A sentence over the size stands in a chunk of its own, with what is carried. Texts are packed in Arrow batches: a fold over
-    arrays would copy what it has for each sentence.
+    A sentence over the size stands in a chunk of its own, with what is carried. Texts are packed one by one in Arrow batches, of
+    which Python holds a piece at a time: a fold over arrays would copy what it has for each sentence.
     """
 
-    @F.pandas_udf("array<string>")
-    def pack(found: pd.Series, whole: pd.Series) -> pd.Series:
-        return pd.Series([pack_sentences(list(x), size, overlap) or [t] for x, t in zip(found, whole, strict=True)])
-
-    return pack(sentences(text), text)
+    @F.arrow_udf("array<string>")
+    def pack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for found in batches:
+            yield from packed_pieces(found, size, overlap)
+
+    chunks = pack(sentences(text))
+    return F.when(F.size(chunks) == 0, F.array(text)).otherwise(chunks)
+
+
+def packed_pieces(found: pa.Array, size: int, overlap: int, chars: int = 1 << 20) -> Iterator[pa.Array]:
+    """:func:`pack_sentences` of each list of ``found``, in arrays of about ``chars`` characters, one list at least."""
+    out, held = [], 0
+    for at in range(0, len(found), 64):
+        some = found.slice(at, 64)
+        items = some.flatten().to_numpy(zero_copy_only=False).tolist()
+        end = 0
+        for n in pc.list_value_length(some).to_pylist():
+            out.append(pack_sentences(items[end : end + n], size, overlap))
+            end += n
+            held += sum(map(len, out[-1]))
+            if held > chars:
+                yield pa.array(out, pa.list_(pa.string()))
+                out, held = [], 0
+    if out:
+        yield pa.array(out, pa.list_(pa.string()))
 
 
 def pack_sentences(items: list[str], size: int, overlap: int) -> list[str]:

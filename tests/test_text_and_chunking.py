@@ -39,6 +39,19 @@ def test_sentence_chunks_by_hand(spark):
     assert by(100, 2) == [text] and _chunks(spark, None, lambda c: chunking.sentence(c, 5, 1)) == [None]
 
 
+def test_a_batch_of_texts_is_packed_in_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    seen = []
+    monkeypatch.setattr(chunking, "sentences", lambda c: c)
+    monkeypatch.setattr(chunking.F, "arrow_udf", lambda kind: lambda f: (seen.append(f), lambda c: F.split(c, " "))[1])
+    chunking.sentence(F.col("text"), 3, 1)
+    texts = [["one two three.", "Four."], [], ["x" * 300_000]] * 20
+    made = list(seen[0](iter([pa.array(texts, pa.list_(pa.string()))])))
+    assert [c for m in made for c in m.to_pylist()] == [chunking.pack_sentences(t, 3, 1) for t in texts]
+    assert max(m.nbytes for m in made) < 2_000_000
+
+
 @given(st.lists(st.integers(1, 9), max_size=25), st.integers(1, 20), st.integers(0, 3))
 def test_packed_sentences_are_as_long_as_they_can_be(lengths, size, overlap):
     items = [" ".join([f"s{i}"] * n) for i, n in enumerate(lengths)]
